@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from misheard.functions.text import purify
 from misheard.operators.confusion import forward_table
+from misheard.operators.joins import spread
 from misheard.operators.noise import corrupt
 from misheard.operators.pairs import pad_pair
 from misheard.plans.corpus import SENTENCE_KEY, clean_corpus
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +46,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     """(conv_id, turn, ref, hyp): each turn with the next one, cleaned. Mostly
     unrelated texts of different lengths."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf, "conversations").select("conv_id", "turn", purify(F.col("text")).alias("ref"))
+    c = spread(table(spark, sf, "conversations"), "conv_id").select("conv_id", "turn", purify(F.col("text")).alias("ref"))
     return c.withColumn("hyp", F.lead("ref").over(w)).where(F.col("hyp").isNotNull())
 
 

@@ -33,6 +33,11 @@ def with_draw(source: str, rs: str, k: str, name: str = "r", slot: int = 0) -> s
       SELECT *, ({rs} + ({k})::BIGINT * 2654435761 + {slot * 40503 * 65537}) & {m} AS _x FROM {source}))))"""
 
 
+def with_wide_draw(source: str, rs: str, k: str) -> str:
+    two = with_draw(with_draw(source, rs, k, "r0"), rs, k, "r1", 1)
+    return f"(SELECT * EXCLUDE (r0, r1), r0 * 2147483648 + (r1 & 2147483647) AS r FROM {two})"
+
+
 LINES = r"""lines AS (
   SELECT doc_id, unnest(parts) AS line, (generate_subscripts(parts, 1) - 1)::INTEGER AS line_no
   FROM (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS parts
@@ -85,8 +90,8 @@ def reverse(source: str = "wins") -> str:
   FROM {source} WHERE replace(hyp_win, '?', '') <> '' GROUP BY ALL"""
 
 
-CONFUSIONS = PADDED + ", " + wins(1, 3) + ", confusions AS (" + forward() + ")"
-CANDIDATES = """cands AS (
+CONFUSIONS = PADDED + ", " + wins(1, 3) + ", confusions AS MATERIALIZED (" + forward() + ")"
+CANDIDATES = """cands AS MATERIALIZED (
   SELECT chunk, replacement AS repl, sum(cnt) OVER w - cnt AS lo, sum(cnt) OVER w AS hi,
          sum(cnt) OVER (PARTITION BY chunk) AS total
   FROM confusions WINDOW w AS (PARTITION BY chunk ORDER BY replacement ROWS UNBOUNDED PRECEDING))"""
@@ -121,11 +126,11 @@ def corrupted(source: str, keys: list, text: str, seed: int, truncate: int | Non
         chunks(source, keys, text, seed)
         + ", "
         + CANDIDATES
-        + f""", totals AS (SELECT DISTINCT chunk, total FROM cands),
+        + f""", totals AS MATERIALIZED (SELECT DISTINCT chunk, total FROM cands),
 picked AS (
   SELECT {k}, k, p.chunk, c.repl FROM (
     SELECT d.*, CASE WHEN total IS NOT NULL THEN r % total END AS pick_at
-    FROM {with_draw('chunked', 'rs', 'k')} d LEFT JOIN totals USING (chunk)) p
+    FROM {with_wide_draw('chunked', 'rs', 'k')} d LEFT JOIN totals USING (chunk)) p
   LEFT JOIN cands c ON c.chunk = p.chunk AND p.pick_at >= c.lo AND p.pick_at < c.hi),
 rebuilt AS (SELECT {k}, string_agg(coalesce(repl, {kept}), '' ORDER BY k) AS corrupted FROM picked GROUP BY ALL),
 noisy AS (SELECT s.*, coalesce(corrupted, '') AS corrupted FROM {source} s LEFT JOIN rebuilt USING ({k}))"""
@@ -321,7 +326,7 @@ add("known_spans", f"""WITH {CONFUSIONS} SELECT * FROM (
 add("weighted_picks", f"""WITH {CONFUSIONS}, {CANDIDATES}, asked AS (
   SELECT *, {row_seed(1, 'chunk')} AS rs FROM (SELECT DISTINCT chunk, total FROM cands),
     (SELECT unnest(range(0, 5))::INTEGER AS k) AS ks),
-drawn AS (SELECT * FROM {with_draw('asked', 'rs', 'k')})
+drawn AS (SELECT * FROM {with_wide_draw('asked', 'rs', 'k')})
 SELECT d.chunk, k, repl FROM drawn d JOIN cands c ON c.chunk = d.chunk AND r % d.total >= lo AND r % d.total < hi""")
 
 # --- aggregations and statistics -------------------------------------------

@@ -41,7 +41,22 @@ def draw_np(rs, k, slot: int = 0):
     return x ^ (x >> 16)
 
 
-def pick(r: Column, total: Column, candidates: Column) -> Column:
-    """Frequency-weighted pick from `array<struct<hi,repl>>`, hi = running count."""
-    at = F.pmod(r, total)
-    return F.get(F.filter(candidates, lambda c: c["hi"] > at), F.lit(0))["repl"]
+def wide_draw(rs: Column, k: Column, slot: int = 0) -> Column:
+    """A long in [0, 2^63) from two draws, for picks among very many counts."""
+    low = draw(rs, k, slot + 1).bitwiseAND(F.lit(0x7FFFFFFF))
+    return draw(rs, k, slot) * F.lit(1 << 31) + low
+
+
+def slot_of(at: Column, total: Column, slots: Column) -> Column:
+    """Which of `slots` equal parts of [0, total) a count falls into. Grows with
+    `at`, which is all that picks rely on."""
+    return F.least(F.floor(at.cast("double") * (slots / total)).cast("int"), slots - 1)
+
+
+def pick(at: Column, total: Column, slots: Column) -> Column:
+    """Frequency-weighted pick for a count `at` in [0, total). `slots` is
+    array<array<struct<hi,repl>>>: as many slots as candidates, each with the
+    candidates that reach into it, so a pick looks at about two of them however
+    long the list is. Pass a plain column as `at`: it is named in a lambda."""
+    near = F.get(slots, slot_of(at, total, F.size(slots)))
+    return F.get(F.filter(near, lambda c: c["hi"] > at), F.lit(0))["repl"]

@@ -35,7 +35,7 @@ def char_ids(
     """Ids of the known characters between start and end id; others drop out."""
     require_strings(df, text)
     rows = by_key(df.select(*keys, text), keys).select(*keys, chars(F.col(text)).alias("_c"))
-    ids = map_elements(rows, keys, "_c", "token", vocabulary, "inner", lambda _: F.col("id"), out, max_rows=max_rows)
+    ids = map_elements(rows, keys, "_c", "token", vocabulary, "inner", F.col("id"), out, max_rows=max_rows)
     start, end = (F.lit(dict(K.CHAR_SPECIALS)[t]) for t in (K.START, K.END))
     return ids.withColumn(out, F.concat(F.array(start), out, F.array(end)))
 
@@ -46,7 +46,7 @@ def tokens_of_ids(
 ) -> DataFrame:
     """Tokens of the known ids, in order; unknown ids drop out."""
     rows = by_key(df.select(*keys, ids), keys)
-    return map_elements(rows, keys, ids, "id", vocabulary, "inner", lambda _: F.col("token"), out, max_rows=max_rows)
+    return map_elements(rows, keys, ids, "id", vocabulary, "inner", F.col("token"), out, max_rows=max_rows)
 
 
 def ids_with_buckets(
@@ -67,7 +67,7 @@ def ids_with_buckets(
     # negative numbers mark the bucket until the size, one row, is known
     marked = map_elements(
         rows, keys, tokens, "token", sized, "left",
-        lambda _: F.coalesce(F.col("id").cast("long"), -1 - F.pmod(oov, F.lit(buckets))), out, max_rows=max_rows,
+        F.coalesce(F.col("id").cast("long"), -1 - F.pmod(oov, F.lit(buckets))), out, max_rows=max_rows,
     )
     n = F.col("_size")
     return (

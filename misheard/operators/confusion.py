@@ -7,6 +7,7 @@ makes up a large share of all windows costs one row per task.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from misheard import constants as K
+from misheard.functions.draws import slot_of
 from misheard.operators.joins import require_strings
 
 _BLOCK = 256    # columns cut out at once, so that long pairs stay linear
@@ -86,14 +87,27 @@ def merge_tables(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def candidates(table: DataFrame) -> DataFrame:
-    """(chunk, total, cands): replacements in order with running counts, ready
-    for weighted picks."""
-    running = Window.partitionBy("chunk").orderBy("replacement").rowsBetween(Window.unboundedPreceding, 0)
+    """(chunk, total, slots): replacements in order with running counts, laid
+    out for weighted picks (`draws.pick`)."""
+    of_chunk = Window.partitionBy("chunk")
+    running = of_chunk.orderBy("replacement").rowsBetween(Window.unboundedPreceding, 0)
+    n, total = F.col("n"), F.col("total")
+    spans = table.select(
+        "chunk",
+        F.col("replacement").alias("repl"),
+        "cnt",
+        F.sum("cnt").over(running).alias("hi"),
+        F.sum("cnt").over(of_chunk).alias("total"),
+        F.count(F.lit(1)).over(of_chunk).cast("int").alias("n"),
+    )
+    first, last = slot_of(F.col("hi") - F.col("cnt"), total, n), slot_of(F.col("hi") - 1, total, n)
     return (
-        table.withColumn("hi", F.sum("cnt").over(running))
+        spans.select("chunk", "total", "hi", "repl", F.explode(F.sequence(first, last)).alias("slot"))
+        .groupBy("chunk", "slot")
+        .agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("hi", "repl"))).alias("near"))
         .groupBy("chunk")
         .agg(
-            F.max("hi").alias("total"),
-            F.array_sort(F.collect_list(F.struct("hi", F.col("replacement").alias("repl")))).alias("cands"),
+            F.max("total").alias("total"),
+            F.transform(F.array_sort(F.collect_list(F.struct("slot", "near"))), lambda s: s["near"]).alias("slots"),
         )
     )

@@ -79,15 +79,16 @@ def map_elements(
     element: str,
     table: DataFrame,
     how: str,
-    value,
+    value: Column,
     out: str,
     carry: list[str] = (),
+    extra: dict[str, Column] | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Look up every element of an array column and put the values back in order.
 
-    `table` has one row per `element`; `value(pos)` is the column computed after
-    the join. `how='inner'` drops unknown elements, 'left' keeps them. `keys`
+    `table` has one row per `element`; `value` is the column computed after the
+    join, from its columns, `_pos` and the `extra` columns. `how='inner'` drops unknown elements, 'left' keeps them. `keys`
     must be unique per row. When `df` comes partitioned by them (`by_key`), the
     elements are grouped back without a shuffle as long as the table is small.
     `carry` columns ride on the first element.
@@ -100,8 +101,10 @@ def map_elements(
     )
     known = table.withColumn("_known", F.lit(True))
     joined = lookup_join(exploded, known, [element], "left", [*keys, "_pos"], max_rows)
+    if extra:
+        joined = joined.withColumns(extra)
     wanted = F.col("_known") if how == "inner" else F.col("_pos").isNotNull()
-    item = F.when(wanted, F.struct(F.col("_pos"), value(F.col("_pos")).alias("_v")))
+    item = F.when(wanted, F.struct(F.col("_pos"), value.alias("_v")))
     return joined.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in carry],
         F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_v"]).alias(out),
@@ -109,8 +112,20 @@ def map_elements(
 
 
 def by_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread compact rows by their key before they are exploded."""
-    return df.repartition(*[F.col(k) for k in keys])
+    """Spread compact rows by their key before they are exploded. The number of
+    partitions is named, as rows are about to grow many times and a size-based
+    merge of small partitions would leave too few tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[F.col(k) for k in keys])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input that comes in fewer splits than there are task slots, so
+    that work done per row is not left to a few tasks; else leave it alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *[F.col(k) for k in keys])
 
 
 def checkpoint_dir(spark: SparkSession) -> None:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from misheard import constants as K
-from misheard.functions.draws import draw, pick, row_seed
+from misheard.functions.draws import pick, row_seed, wide_draw
 from misheard.functions.text import bind, chars
 from misheard.operators.confusion import candidates
 from misheard.operators.joins import BROADCAST_ROWS, by_key, map_elements, require_strings
@@ -62,10 +62,10 @@ def corrupt(
     rows = rows.withColumn("_chunks", random_chunks(F.col("_rs"), F.col(text), sizes))
     kept = F.col("chunk") if truncate_to is None else F.substr("chunk", F.lit(1), F.lit(truncate_to))
 
-    def replaced(pos: Column) -> Column:
-        return F.coalesce(pick(draw(F.col("_rs"), pos), F.col("total"), F.col("cands")), kept)
-
+    at = F.pmod(wide_draw(F.col("_rs"), F.col("_pos")), F.col("total"))
+    replaced = F.coalesce(pick(F.col("_at"), F.col("total"), F.col("slots")), kept)
     done = map_elements(
-        rows, [*keys, "_rs"], "_chunks", "chunk", candidates(table), "left", replaced, "_out", [text], max_rows
+        rows, [*keys, "_rs"], "_chunks", "chunk", candidates(table), "left", replaced, "_out",
+        [text], {"_at": at}, max_rows,
     )
     return done.select(*keys, text, F.array_join("_out", "").alias(out))
