@@ -364,7 +364,13 @@ def confusions_of_clips(spark, sf):
 
 @query
 def reverse_fit(spark, sf):
-    return training.fit_reverse(I.noisy_pairs(spark, sf))
+    """The whole reverse table of the noisy pairs, summed up by chunk length."""
+    fitted = training.fit_reverse(I.noisy_pairs(spark, sf))
+    return fitted.groupBy(F.length("chunk").alias("chunk_chars")).agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.sum("cnt").alias("windows"),
+        F.sum(F.when(F.col("chunk") == F.col("replacement"), F.col("cnt")).otherwise(0)).alias("same"),
+    )
 
 
 @query
