@@ -57,7 +57,7 @@ def padded_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def turn_confusions(spark: SparkSession, sf: str) -> DataFrame:
     """A confusion table both engines can build: chunks at the same place."""
-    return forward_table(padded_turns(spark, sf))
+    return forward_table(padded_turns(spark, sf)).persist()
 
 
 def _clip_path() -> F.Column:

@@ -411,7 +411,8 @@ def known_spans(spark, sf):
 @query
 def suggestions(spark, sf):
     parts = I.table(spark, sf, "part").select("p_partkey", "p_name")
-    return suggest.suggestions(parts, ["p_partkey"], "p_name", confusion.reverse_table(I.padded_turns(spark, sf), 4), seed=2)
+    table = confusion.reverse_table(I.padded_turns(spark, sf), 4).persist()
+    return suggest.suggestions(parts, ["p_partkey"], "p_name", table, seed=2)
 
 
 @query

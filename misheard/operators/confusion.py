@@ -104,10 +104,10 @@ def candidates(table: DataFrame) -> DataFrame:
     return (
         spans.select("chunk", "total", "hi", "repl", F.explode(F.sequence(first, last)).alias("slot"))
         .groupBy("chunk", "slot")
-        .agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("hi", "repl"))).alias("near"))
+        .agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("hi", "repl"))).alias("near"))
         .groupBy("chunk")
         .agg(
             F.max("total").alias("total"),
-            F.transform(F.array_sort(F.collect_list(F.struct("slot", "near"))), lambda s: s["near"]).alias("slots"),
+            F.transform(F.sort_array(F.collect_list(F.struct("slot", "near"))), lambda s: s["near"]).alias("slots"),
         )
     )

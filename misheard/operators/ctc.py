@@ -46,7 +46,7 @@ def greedy_decode(
         F.max_by("id", frame_no).alias("_last"),
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.when(keep, F.struct(F.col(frame_no), symbol.alias("s"))))),
+                F.sort_array(F.collect_list(F.when(keep, F.struct(F.col(frame_no), symbol.alias("s"))))),
                 lambda x: x["s"],
             ),
             "",
@@ -60,6 +60,6 @@ def greedy_decode(
     )
     return joined.groupBy(path).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_block", "_text"))), lambda x: x["_text"]), ""
+            F.transform(F.sort_array(F.collect_list(F.struct("_block", "_text"))), lambda x: x["_text"]), ""
         ).alias("predicted")
     )

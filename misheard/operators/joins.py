@@ -104,10 +104,11 @@ def map_elements(
     if extra:
         joined = joined.withColumns(extra)
     wanted = F.col("_known") if how == "inner" else F.col("_pos").isNotNull()
-    item = F.when(wanted, F.struct(F.col("_pos"), value.alias("_v")))
-    return joined.groupBy(*keys).agg(
+    # only the value goes on: wide columns of the table stay out of the grouping
+    valued = joined.select(*keys, *carry, F.when(wanted, F.struct(F.col("_pos"), value.alias("_v"))).alias("_item"))
+    return valued.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in carry],
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_v"]).alias(out),
+        F.transform(F.sort_array(F.collect_list("_item")), lambda x: x["_v"]).alias(out),
     )
 
 

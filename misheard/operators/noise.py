@@ -65,7 +65,7 @@ def corrupt(
     at = F.pmod(wide_draw(F.col("_rs"), F.col("_pos")), F.col("total"))
     replaced = F.coalesce(pick(F.col("_at"), F.col("total"), F.col("slots")), kept)
     done = map_elements(
-        rows, [*keys, "_rs"], "_chunks", "chunk", candidates(table), "left", replaced, "_out",
+        rows, [*keys, "_rs"], "_chunks", "chunk", candidates(table).persist(), "left", replaced, "_out",
         [text], {"_at": at}, max_rows,
     )
     return done.select(*keys, text, F.array_join("_out", "").alias(out))
