@@ -11,9 +11,9 @@ HEAVY_ROWS = 2_000_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most `max_rows` rows. Reads no more than
-    that many rows of it, and brings back none."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when the table has at most `max_rows` rows. Only partial counts are
+    shuffled; a limit would first gather its rows from every partition."""
+    return df.count() <= max_rows
 
 
 def lookup_join(
