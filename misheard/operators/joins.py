@@ -156,7 +156,3 @@ def require_strings(df: DataFrame, *columns: str) -> DataFrame:
     if wrong:
         raise TypeError("string columns expected, got " + ", ".join(wrong))
     return df
-
-
-def as_column(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
