@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from misheard.llm import mixing
+from misheard.llm import mixing, trie_bpe
 from misheard.llm.common import table
 
 QUERIES: dict = {}
@@ -22,3 +22,15 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.size("mix.copies") > 0, F.col("mix.copies")[0]["position"]).alias("position"),
     )
     return mixing.by_position(rows, F.col("position"), F.col("doc_id"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_trie_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return trie_bpe.digests(table(spark, sf, "documents"), trie_bpe.read_tokenizer(tokenizer_path()))
