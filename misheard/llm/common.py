@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from misheard.operators.joins import checkpoint_dir
+from misheard.operators.joins import checkpoint_dir, is_small, spread_join
 
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def attach(left: DataFrame, right: DataFrame, on: list[str], rows: str, salt_by: list[str]) -> DataFrame:
+    """Inner join to a table with one row per key that is cut from its lineage:
+    broadcast if it counts few rows, else shuffled with hot keys spread by the
+    `salt_by` columns. `rows` is its column with the left rows of each key."""
+    if is_small(right):
+        return left.join(F.broadcast(right), on)
+    return spread_join(left, right, on, "inner", salt_by, left_rows=rows)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     checkpoint_dir(spark)

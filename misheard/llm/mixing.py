@@ -17,8 +17,7 @@ then by the digest of all columns. No rows give no rows.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from misheard.llm.common import WORD, cut
-from misheard.operators.joins import is_small, spread_join
+from misheard.llm.common import WORD, attach, cut
 
 # Weight over time per source in turn, as (time, weight) knots joined by lines:
 # the first fades out, the second is steady, the third fades in.
@@ -93,14 +92,6 @@ def source_targets(
     ).select("source", "source_size", "rows", "source_no", "target")
 
 
-def _attach(left: DataFrame, right: DataFrame, on: list[str], rows: str) -> DataFrame:
-    """Inner join to a table of one row per key that is cut from its lineage:
-    broadcast if it counts few rows, else with hot keys spread."""
-    if is_small(right):
-        return left.join(F.broadcast(right), on)
-    return spread_join(left, right, on, "inner", ["_order", "_tie"], left_rows=rows)
-
-
 def assign(
     docs: DataFrame,
     keep: list[str],
@@ -146,7 +137,7 @@ def assign(
         F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / F.lit(float(2**32)) * F.col("_buckets")
     ).cast("long")
     sums = (
-        _attach(sized.withColumn("_tie", F.xxhash64("_order")), targets, ["_key"], "_rows")
+        attach(sized, targets, ["_key"], "_rows", ["_order"])
         .groupBy("source_no", bucket.alias("_bucket"))
         .agg(F.sum("_size").alias("_words"), F.count(F.lit(1)).alias("_n"))
     )
@@ -158,8 +149,8 @@ def assign(
         Window.partitionBy("source_no", "_bucket").orderBy("_order", "_size", "_tie")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = _attach(named.drop("_source"), targets, ["_key"], "_rows").withColumn("_bucket", bucket)
-    placed = _attach(placed, offsets, ["source_no", "_bucket"], "_n").withColumn(
+    placed = attach(named.drop("_source"), targets, ["_key"], "_rows", ["_order", "_tie"]).withColumn("_bucket", bucket)
+    placed = attach(placed, offsets, ["source_no", "_bucket"], "_n", ["_order", "_tie"]).withColumn(
         "_before", F.col("_offset") + F.coalesce(F.sum("_size").over(within), F.lit(0))
     )
     wanted = F.floor(F.col("target") + 0.5).cast("long")

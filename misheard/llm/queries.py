@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from misheard.llm import mixing, trie_bpe
+from misheard.llm import mixing, simhash, trie_bpe
 from misheard.llm.common import table
 
 QUERIES: dict = {}
@@ -34,3 +34,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op3_trie_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return trie_bpe.digests(table(spark, sf, "documents"), trie_bpe.read_tokenizer(tokenizer_path()))
+
+
+@query
+def op8_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    rows = simhash.near_duplicates(table(spark, sf, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
