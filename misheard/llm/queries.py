@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from misheard.llm import mixing, simhash, trie_bpe
+from misheard.llm import guess_cost, mixing, multiset, simhash, trie_bpe
 from misheard.llm.common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,15 @@ def op8_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
     rows = simhash.near_duplicates(table(spark, sf, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and spans of every document."""
+    return guess_cost.digests(table(spark, sf, "documents"))
+
+
+@query
+def op10_multiset_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, its edited text and the next document compared."""
+    return multiset.compare_edits(table(spark, sf, "documents"))
