@@ -23,13 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def attach(left: DataFrame, right: DataFrame, on: list[str], rows: str, salt_by: list[str]) -> DataFrame:
-    """Inner join to a table with one row per key that is cut from its lineage:
+def attach(
+    left: DataFrame, right: DataFrame, on: list[str], rows: str, salt_by: list[str], how: str = "inner"
+) -> DataFrame:
+    """Join (inner or left) to a table with one row per key that is cut from its lineage:
     broadcast if it counts few rows, else shuffled with hot keys spread by the
     `salt_by` columns. `rows` is its column with the left rows of each key."""
     if is_small(right):
-        return left.join(F.broadcast(right), on)
-    return spread_join(left, right, on, "inner", salt_by, left_rows=rows)
+        return left.join(F.broadcast(right), on, how)
+    return spread_join(left, right, on, how, salt_by, left_rows=rows)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -45,3 +45,15 @@ select doc_id, source, size, source_size, target, taken::bigint as taken,
   end as position
 from q
 """
+
+ORACLES["op2_warc_conversion"] = """
+with p as (
+  select page_id, coalesce(strlen(html), 0)::bigint as n, sha256(coalesce(html, '')) as digest from pages
+), f as (
+  select *, min(page_id) over (partition by digest) as first from p
+)
+select page_id, n as payload_bytes, digest as payload_digest,
+       case when n >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and page_id > first then first end as refers_to
+from f
+"""

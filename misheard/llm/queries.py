@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from misheard.llm import guess_cost, mixing, multiset, simhash, trie_bpe
-from misheard.llm.common import table
+from misheard.llm import guess_cost, mixing, multiset, simhash, tag_paths, trie_bpe, warc
+from misheard.llm.common import shared_path, table
 
 QUERIES: dict = {}
 
@@ -53,3 +53,19 @@ def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 def op10_multiset_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, its edited text and the next document compared."""
     return multiset.compare_edits(table(spark, sf, "documents"))
+
+
+@query
+def op2_warc_conversion(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as ARC archives, converted to WARC and read back."""
+    arcs, warcs = shared_path(spark, "arc"), shared_path(spark, "warc")
+    warc.write_arc(table(spark, sf, "pages"), arcs)
+    warc.convert(spark, arcs, warcs)
+    rows = warc.read_warc(spark, warcs, payloads=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    return tag_paths.main_text(table(spark, sf, "pages"))
