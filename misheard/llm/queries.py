@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from misheard.llm import guess_cost, mixing, multiset, simhash, tag_paths, trie_bpe, warc
+from misheard.llm import guess_cost, mixing, multiset, projections, simhash, tag_paths, trie_bpe, warc
 from misheard.llm.common import shared_path, table
 
 QUERIES: dict = {}
@@ -69,3 +69,10 @@ def op2_warc_conversion(spark: SparkSession, sf: str) -> DataFrame:
 def op4_main_text(spark: SparkSession, sf: str) -> DataFrame:
     """The main text of every page."""
     return tag_paths.main_text(table(spark, sf, "pages"))
+
+
+@query
+def op6_embedding_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every vector."""
+    rows = projections.near_duplicates(table(spark, sf, "embeddings"))
+    return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
