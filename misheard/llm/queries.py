@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from misheard.llm import guess_cost, mixing, multiset, projections, simhash, tag_paths, trie_bpe, warc
+from misheard.llm import guess_cost, mixing, multiset, perplexity, projections, simhash, tag_paths, trie_bpe, warc
 from misheard.llm.common import shared_path, table
 
 QUERIES: dict = {}
@@ -76,3 +76,10 @@ def op6_embedding_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Links and component of every vector."""
     rows = projections.near_duplicates(table(spark, sf, "embeddings"))
     return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@query
+def op5_perplexity_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Perplexity of every document, its limit, and whether it is kept."""
+    rows = perplexity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return rows.drop("key")
