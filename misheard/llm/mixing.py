@@ -159,7 +159,7 @@ def assign(
     for k in range(max_repeats):
         start = F.lit(k) * F.col("source_size") + F.col("_before")
         words = F.least(wanted - start, F.col("_size"))
-        share = start.cast("double") / wanted
+        share = start.cast("double") / F.greatest(wanted, F.lit(1))
         at = progress(share, schedules[0])
         for no, knots in enumerate(schedules[1:], 1):
             at = F.when(turn == no, progress(share, knots)).otherwise(at)
@@ -186,15 +186,17 @@ def by_position(df: DataFrame, position: Column, *ties: Column) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def mix(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
     """The training mix: one row per copy taken, with the columns of `docs`,
     sorted by training position. A copy that ends its source's share keeps its
-    first words only. Options as for `assign`."""
+    first words only; `length_col`, if given, is then set to its new length.
+    Options as for `assign`."""
     columns = docs.columns
     rows = assign(docs, columns, text_col=text_col, **options)
     rows = rows.select(*columns, F.col("mix.size").alias("_size"), F.explode("mix.copies").alias("_copy"))
-    text = F.when(F.col("_copy.words") == F.col("_size"), F.col(text_col)).otherwise(
-        first_words(F.col(text_col), F.col("_copy.words").cast("int"))
-    )
+    whole = F.col("_copy.words") == F.col("_size")
+    text = F.when(whole, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_copy.words").cast("int")))
     rows = rows.withColumn(text_col, text)
+    if length_col:
+        rows = rows.withColumn(length_col, F.when(whole, F.col(length_col)).otherwise(F.length(text_col)))
     return by_position(rows, F.col("_copy.position"), F.xxhash64(*columns)).select(*columns)

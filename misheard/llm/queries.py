@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from misheard.llm import guess_cost, mixing, multiset, perplexity, projections, simhash, tag_paths, trie_bpe, warc
+from misheard.llm import guess_cost, mixing, multiset, perplexity, projections, repeats, simhash, tag_paths, trie_bpe, warc
 from misheard.llm.common import shared_path, table
 
 QUERIES: dict = {}
@@ -83,3 +83,9 @@ def op5_perplexity_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Perplexity of every document, its limit, and whether it is kept."""
     rows = perplexity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return rows.drop("key")
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without repeated strings of 400 bytes."""
+    return repeats.remove_repeats(table(spark, sf, "documents"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from misheard.llm.common import attach, cut, map_arrow
 from misheard.llm.components import components
+from misheard.operators.joins import is_small, spread_join
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -48,15 +49,15 @@ def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(ends)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) with the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The `keep` columns and fp, the 64 bits as a signed long."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+        found = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names=[*keep, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, F.col(text_col).cast("binary")), step, f"{id_col} {kind}, fp long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return map_arrow(docs.select(F.col(text_col).cast("binary").alias("_text"), *keep), step, f"{kinds}, fp long")
 
 
 def _without(fp: Column, *bits: Column) -> Column:
@@ -109,16 +110,38 @@ def links(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id that is reachable
-    over fingerprints within two bits of each other."""
-    rows = cut(fingerprints(docs, id_col, text_col))
+    """(id, fp, component_id) and the `keep` columns: component_id is the smallest
+    id that is reachable over fingerprints within two bits of each other; root
+    is one fingerprint for all of a component."""
+    rows = cut(fingerprints(docs, [id_col, *keep], text_col))
     fps = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(fps.select("fp"), group_rows))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(smallest, "root").select("fp", "n", "component_id"))
-    return attach(rows, named, ["fp"], "n", [id_col]).select(id_col, "fp", "component_id")
+    named = cut(rooted.join(smallest, "root").select("fp", "n", "root", "component_id"))
+    found = attach(rows, named, ["fp"], "n", [id_col, *keep])
+    return found.select(id_col, *keep, "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of near copies: that of the smallest id
+    (null last), of equal ids the one with the smallest digest of all columns."""
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    found = cut(near_duplicates(keyed, id_col, text_col, keep=("_row",)).select("root", id_col, "_row"))
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
+    first = found.groupBy("root").agg(F.min(order)["_row"].alias("_row"))
+    rows = found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    rows = cut(rows.join(first.withColumn("_first", F.lit(True)), "_row", "left"))
+    dropped = rows.where("_first is null").select("_row", "_n")
+    if is_small(dropped):
+        kept = keyed.join(F.broadcast(dropped), "_row", "left_anti")
+    else:
+        kept = spread_join(keyed, dropped, ["_row"], "left_anti", [id_col], left_rows="_n")
+    if not rows.where("_first and _n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_row"])    # a first row that is repeated as it is
+    return kept.drop("_row")
