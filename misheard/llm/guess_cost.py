@@ -18,8 +18,11 @@ import re
 from functools import lru_cache
 from math import log2
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from misheard.llm.common import free_name
 
 # The patterns of the plain kinds.
 ASSIGN = re.compile(
@@ -191,19 +194,15 @@ def without_secrets(text: str | None, mark: str) -> str | None:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with secrets replaced by `mark`; `length_col`, if given, is set to
     the new length of changed texts."""
-    columns = docs.columns
 
-    def run(batches):
-        for batch in batches:
-            old = batch.column(columns.index(text_col)).to_pylist()
-            new = [without_secrets(t, mark) for t in old]
-            out = dict(zip(columns, batch.columns))
-            kind = out[text_col].type
-            out[text_col] = pa.array(new, kind)
-            if length_col:
-                lengths = out[length_col].to_pylist()
-                lengths = [len(n) if n != o else k for n, o, k in zip(new, old, lengths)]
-                out[length_col] = pa.array(lengths, out[length_col].type)
-            yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: without_secrets(t, mark))
+
+    new = free_name(docs, "_new")
+    rows = docs.withColumn(new, clean(text_col))
+    same = F.col(new).eqNullSafe(F.col(text_col))
+    changed = {text_col: F.col(new)}
+    if length_col:
+        changed[length_col] = F.when(same, F.col(length_col)).otherwise(F.length(new).cast(docs.schema[length_col].dataType))
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

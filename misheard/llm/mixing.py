@@ -92,7 +92,7 @@ def source_targets(
     ).select("source", "source_size", "rows", "source_no", "target")
 
 
-def assign(
+def _assign(
     docs: DataFrame,
     keep: list[str],
     id_col: str = "doc_id",
@@ -104,9 +104,8 @@ def assign(
     schedules: tuple = SCHEDULES,
     seed: int = 0,
 ) -> DataFrame:
-    """The `keep` columns of every document with `mix`: a struct of size,
-    source_size, target, taken, and copies (array of words, position in 0..1;
-    a copy with fewer words than the document ends the source's share).
+    """(row, mix): the `keep` columns of every document as a struct, and what
+    `assign` says of it.
 
     Sizes are read once into a narrow table; the words before a document are
     found from sums per bucket of the order (about the square root of the
@@ -167,7 +166,7 @@ def assign(
     taken = sum((F.greatest(F.least(wanted - (F.lit(k) * F.col("source_size") + F.col("_before")), F.col("_size")),
                             F.lit(0)) for k in range(max_repeats)), F.lit(0))
     return placed.select(
-        "_row.*",
+        F.col("_row").alias("row"),
         F.struct(
             F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"),
             F.array_compact(F.array(*copies)).alias("copies"),
@@ -175,6 +174,13 @@ def assign(
     )
 
 
+def assign(docs: DataFrame, keep: list[str], **options) -> DataFrame:
+    """The `keep` columns of every document (none named mix) with `mix`: a struct
+    of size, source_size, target, taken, and copies (array of words, position in
+    0..1; a copy with fewer words than the document ends the source's share)."""
+    return _assign(docs, keep, **options).select("row.*", "mix")
+
+
 def first_words(text: Column, words: Column) -> Column:
     """The text up to the end of its given number of words."""
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, words), "")
@@ -191,12 +197,13 @@ def mix(docs: DataFrame, text_col: str = "text", length_col: str | None = None,
     sorted by training position. A copy that ends its source's share keeps its
     first words only; `length_col`, if given, is then set to its new length.
     Options as for `assign`."""
-    columns = docs.columns
-    rows = assign(docs, columns, text_col=text_col, **options)
-    rows = rows.select(*columns, F.col("mix.size").alias("_size"), F.explode("mix.copies").alias("_copy"))
-    whole = F.col("_copy.words") == F.col("_size")
-    text = F.when(whole, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_copy.words").cast("int")))
-    rows = rows.withColumn(text_col, text)
+    rows = _assign(docs, docs.columns, text_col=text_col, **options)
+    rows = rows.select("row", F.col("mix.size").alias("size"), F.explode("mix.copies").alias("copy"))
+    old, whole = F.col("row")[text_col], F.col("copy.words") == F.col("size")
+    text = F.when(whole, old).otherwise(first_words(old, F.col("copy.words").cast("int")))
+    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    rows = rows.select(F.struct(*columns).alias("row"), "copy", whole.alias("whole"))
     if length_col:
-        rows = rows.withColumn(length_col, F.when(whole, F.col(length_col)).otherwise(F.length(text_col)))
-    return by_position(rows, F.col("_copy.position"), F.xxhash64(*columns)).select(*columns)
+        length = F.when(F.col("whole"), F.col("row")[length_col]).otherwise(F.length(F.col("row")[text_col]))
+        rows = rows.withColumn("row", F.col("row").withField(length_col, length))
+    return by_position(rows, F.col("copy.position"), F.xxhash64("row")).select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from misheard.llm.common import attach, cut, map_arrow
+from misheard.llm.common import attach, cut, free_name, map_arrow
 from misheard.llm.components import components
 from misheard.operators.joins import is_small, spread_join
 
@@ -131,17 +131,19 @@ def near_duplicates(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near copies: that of the smallest id
     (null last), of equal ids the one with the smallest digest of all columns."""
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    found = cut(near_duplicates(keyed, id_col, text_col, keep=("_row",)).select("root", id_col, "_row"))
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    found = near_duplicates(keyed, id_col, text_col, keep=(row,))
+    found = cut(found.select("root", F.col(id_col).alias("id"), F.col(row).alias("_row")))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("_row"))
     first = found.groupBy("root").agg(F.min(order)["_row"].alias("_row"))
     rows = found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
     rows = cut(rows.join(first.withColumn("_first", F.lit(True)), "_row", "left"))
-    dropped = rows.where("_first is null").select("_row", "_n")
+    dropped = rows.where("_first is null").select(F.col("_row").alias(row), "_n")
     if is_small(dropped):
-        kept = keyed.join(F.broadcast(dropped), "_row", "left_anti")
+        kept = keyed.join(F.broadcast(dropped), row, "left_anti")
     else:
-        kept = spread_join(keyed, dropped, ["_row"], "left_anti", [id_col], left_rows="_n")
+        kept = spread_join(keyed, dropped, [row], "left_anti", [id_col], left_rows="_n")
     if not rows.where("_first and _n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])    # a first row that is repeated as it is
-    return kept.drop("_row")
+        kept = kept.dropDuplicates([row])    # a first row that is repeated as it is
+    return kept.drop(row)
