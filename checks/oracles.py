@@ -273,6 +273,8 @@ add("split_of_clip", f"WITH {CLIPS}, {SIDE} SELECT path, is_test FROM clips LEFT
 add("split_of_known_clip", f"WITH {CLIPS}, {SIDE} SELECT path, is_test FROM listed JOIN side USING (path)")
 add("unknown_clips", f"WITH {CLIPS} SELECT path FROM clips WHERE path NOT IN (SELECT path FROM listed)")
 add("evaluation_pairs", f"WITH {CLIPS} SELECT * FROM pairs")
+add("repeated_evaluation_pairs", f"""WITH {CLIPS} SELECT * FROM pairs UNION ALL
+  SELECT p.* FROM pairs p JOIN test t USING (path) WHERE t.src_row % 3 = 0""")
 add("unmatched_clips", f"""WITH {CLIPS} SELECT path, 'predicted' AS only_in FROM heard WHERE path NOT IN (SELECT path FROM train)
   UNION ALL SELECT DISTINCT path, 'actual' FROM train WHERE path NOT IN (SELECT path FROM heard)""")
 add("processed_clips", f"WITH {CLIPS} SELECT path, predicted FROM heard WHERE path IN (SELECT key FROM ledger)")
@@ -302,13 +304,14 @@ SELECT conv_id, turn, '[START]' || coalesce(t, '') || '[END]' AS text FROM turns
 
 # --- alignment and confusion learning --------------------------------------
 add("pad_pairs", f"WITH {PADDED} SELECT * FROM padded")
-add("gaps_restore_inputs", f"WITH {SENT} SELECT doc_id, line_no, sent_no, sentence AS ref, true AS same_length FROM sentences")
+add("gaps_restore_inputs", f"""WITH {SENT}, {SEEDS}, {corrupted('sentences', SK, 'sentence', 7)}
+  SELECT doc_id, line_no, sent_no, sentence AS ref, corrupted AS hyp, true AS same_length FROM noisy""")
 add("column_pairs", f"""WITH {PADDED} SELECT conv_id, turn, (generate_subscripts(r, 1) - 1)::INTEGER AS col,
   unnest(r) AS ref_ch, unnest(h) AS hyp_ch FROM (
   SELECT conv_id, turn, string_split(ref_aln, '') AS r, string_split(hyp_aln, '') AS h FROM padded WHERE ref_aln <> '')""")
 add("forward_confusions", f"WITH {CONFUSIONS} SELECT * FROM confusions")
-add("reverse_confusions", f"WITH {PADDED}, {wins(1, 4)} {reverse()}")
-add("merged_confusions", f"WITH {PADDED}, {wins(1, 3)} {reverse()}")
+add("reverse_confusions", f"WITH {PADDED}, {wins(1, 11)} {reverse()}")
+add("merged_confusions", f"WITH {PADDED}, {wins(1, 11)} {reverse()}")
 
 # --- noise and suggestions -------------------------------------------------
 add("corrupted_corpus", f"""WITH {SENT}, {SEEDS}, {corrupted('sentences', SK, 'sentence', 7)}
@@ -396,6 +399,7 @@ SELECT path, coalesce(string_agg(substr(' ''-abcdefghijklmnopqrstuvwxyzàáèé
 
 # --- limits, unions, listings ----------------------------------------------
 add("head_lines", f"WITH {DOC_LINES} SELECT doc_id, line_no, line FROM lines ORDER BY doc_id, line_no LIMIT 1000")
+add("head_lines_default", f"WITH {DOC_LINES} SELECT doc_id, line_no, line FROM lines ORDER BY doc_id, line_no LIMIT 400000")
 add("union_corpora", f"""SELECT * FROM (WITH {SENT} SELECT * FROM sentences) UNION ALL
   SELECT * FROM (WITH {sentences('(SELECT item_id AS doc_id, text FROM benchmark)')} SELECT * FROM sentences)""")
 add("split_listings", f"""WITH {CLIPS} SELECT path, sentence, 'train' AS list FROM train t JOIN actual a USING (path)

@@ -234,6 +234,15 @@ def evaluation_pairs(spark, sf):
     return training.test_pairs(*I.clips(spark, sf), I.predictions(spark, sf))
 
 
+@query
+def repeated_evaluation_pairs(spark, sf):
+    """Paths listed twice and recognised twice: one pair per listed row."""
+    train, test = I.clips(spark, sf)
+    twice = test.unionByName(test.where(F.col("src_row") % 3 == 0))
+    heard = I.predictions(spark, sf)
+    return training.test_pairs(train, twice, heard.unionByName(heard))
+
+
 @query
 def unmatched_clips(spark, sf):
     train, _ = I.clips(spark, sf)
@@ -317,14 +326,11 @@ def best_alignment(spark, sf):
 
 @query
 def gaps_restore_inputs(spark, sf):
-    """Alignments without their gaps are the sentences again, and a corrupted
-    sentence that equals its source is left alone."""
-    best = P.align_by_sweep(I.noisy_pairs(spark, sf)).join(
-        I.sentences(spark, sf).withColumnRenamed("sentence", "source"), SK
-    )
-    ungapped = F.replace("ref_aln", F.lit(K.GAP), F.lit(""))
+    """Alignments without their gaps are the two sentences again."""
+    best = P.align_by_sweep(I.noisy_pairs(spark, sf))
+    ungapped = {c: F.replace(f"{c}_aln", F.lit(K.GAP), F.lit("")).alias(c) for c in ("ref", "hyp")}
     return best.select(
-        *SK, ungapped.alias("ref"), (F.length("ref_aln") == F.length("hyp_aln")).alias("same_length"),
+        *SK, *ungapped.values(), (F.length("ref_aln") == F.length("hyp_aln")).alias("same_length"),
     )
 
 
@@ -340,15 +346,15 @@ def forward_confusions(spark, sf):
 
 @query
 def reverse_confusions(spark, sf):
-    return confusion.reverse_table(I.padded_turns(spark, sf), 5)
+    return confusion.reverse_table(I.padded_turns(spark, sf))
 
 
 @query
 def merged_confusions(spark, sf):
     padded = I.padded_turns(spark, sf)
     return confusion.merge_tables(
-        confusion.reverse_table(padded.where(F.col("turn") % 2 == 0), 4),
-        confusion.reverse_table(padded.where(F.col("turn") % 2 == 1), 4),
+        confusion.reverse_table(padded.where(F.col("turn") % 2 == 0)),
+        confusion.reverse_table(padded.where(F.col("turn") % 2 == 1)),
     )
 
 
@@ -411,7 +417,7 @@ def known_spans(spark, sf):
 @query
 def suggestions(spark, sf):
     parts = I.table(spark, sf, "part").select("p_partkey", "p_name")
-    table = confusion.reverse_table(I.padded_turns(spark, sf), 4).persist()
+    table = confusion.reverse_table(I.padded_turns(spark, sf)).persist()
     return suggest.suggestions(parts, ["p_partkey"], "p_name", table, seed=2)
 
 
@@ -551,6 +557,12 @@ def head_lines(spark, sf):
     return corpus.head(lines_of(I.docs(spark, sf)), ["doc_id", "line_no"], 1000)
 
 
+@query
+def head_lines_default(spark, sf):
+    """As many lines as the small corpus of the reference setup has."""
+    return corpus.head(lines_of(I.docs(spark, sf)), ["doc_id", "line_no"])
+
+
 @query
 def union_corpora(spark, sf):
     b = I.table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")

@@ -1,6 +1,6 @@
 """Seeded uniform draws that do not depend on partitioning or retries.
 
-A row gets one 32-bit number from its seed and key (`row_number_seed`); each
+A row gets one 32-bit number from its seed and key (`row_seed`); each
 position in the row mixes its index into it with integer arithmetic only, which
 stays in generated code and which numpy and SQL reproduce bit for bit.
 """

@@ -25,9 +25,15 @@ def actual_sentences(train: DataFrame, test: DataFrame, clean=purify) -> DataFra
     )
 
 
-def sentence_of(clips: DataFrame, train: DataFrame, test: DataFrame, clean=purify) -> DataFrame:
-    """Sentence of each asked clip; unknown clips drop out."""
-    return clips.join(actual_sentences(train, test, clean), "path", "inner")
+def sentence_of(
+    clips: DataFrame, train: DataFrame, test: DataFrame, clean=purify, strict: bool = False
+) -> DataFrame:
+    """Sentence of each asked clip. Unknown clips drop out; with strict=True one
+    raises while the query runs."""
+    actual = actual_sentences(train, test, clean)
+    if not strict:
+        return clips.join(actual, "path", "inner")
+    return _require(clips.join(actual, "path", "left"), F.col("split").isNotNull(), "clip does not exist: ", "path")
 
 
 def classify(clips: DataFrame, train: DataFrame, test: DataFrame, strict: bool = True) -> DataFrame:
@@ -53,16 +59,21 @@ def _require(df: DataFrame, ok: Column, message: str, key: str) -> DataFrame:
 
 
 def evaluation_pairs(actual: DataFrame, predicted: DataFrame, strict: bool = True) -> DataFrame:
-    """(path, ref, hyp) by key. With strict=True a clip missing on one side
-    raises; else it drops out."""
+    """(path, ref, hyp): one pair per row of `actual`, however often a path is
+    listed or recognised (the smallest text counts). With strict=True a clip
+    missing on one side raises; else it drops out."""
     ref = actual.select("path", F.col("sentence").alias("ref"))
-    hyp = predicted.select("path", F.col("predicted").alias("hyp"))
+    hyp = one_per_path(predicted).select("path", F.col("predicted").alias("hyp"))
     if not strict:
         return ref.join(hyp, "path", "inner")
     both = ref.join(hyp, "path", "full_outer")
     return _require(both, F.col("ref").isNotNull() & F.col("hyp").isNotNull(), "clip without partner: ", "path")
 
 
+def one_per_path(predicted: DataFrame) -> DataFrame:
+    return predicted.groupBy("path").agg(F.min("predicted").alias("predicted"))
+
+
 def unmatched(actual: DataFrame, predicted: DataFrame) -> DataFrame:
     """Clips present on one side only, with that side."""
     left = actual.select("path").distinct().withColumn("a", F.lit(True))
@@ -109,8 +120,13 @@ def clip_list(clips: DataFrame) -> DataFrame:
     return clips.select("path")
 
 
-def predictions_of_test(test: DataFrame, predicted: DataFrame) -> DataFrame:
-    return test.select("path").join(predicted, "path", "inner")
+def predictions_of_test(test: DataFrame, predicted: DataFrame, strict: bool = False) -> DataFrame:
+    """The recognised text of every listed clip of the test split. Clips that are
+    not recognised drop out; with strict=True one raises while the query runs."""
+    if not strict:
+        return test.select("path").join(predicted, "path", "inner")
+    known = test.select("path").join(predicted.withColumn("_known", F.lit(True)), "path", "left")
+    return _require(known, F.col("_known").isNotNull(), "not processed yet: ", "path").drop("_known")
 
 
 def train_sentences(train: DataFrame) -> DataFrame:

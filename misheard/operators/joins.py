@@ -59,14 +59,18 @@ def spread_join(
         counted.where(F.col("_n") > heavy_rows)
         .select(*on, F.ceil(F.col("_n") / F.lit(float(heavy_rows))).cast("int").alias("_salts"))
     )
+    # few keys as a rule: counted once, and broadcast only if they are few indeed
+    checkpoint_dir(left.sparkSession)
+    heavy = heavy.checkpoint()
+    heavy = F.broadcast(heavy) if is_small(heavy) else heavy
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     row = F.xxhash64(*salt_by)
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    spread = left.join(F.broadcast(heavy), on, "left").withColumn(
+    spread = left.join(heavy, on, "left").withColumn(
         # rows without a key match nothing and need no copies: spread them freely
         "_salt", F.pmod(row, F.when(no_key, F.lit(4096)).otherwise(salts)).cast("int")
     ).drop("_salts")
-    copies = right.join(F.broadcast(heavy), on, "left").withColumn(
+    copies = right.join(heavy, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     ).drop("_salts")
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
@@ -115,8 +119,9 @@ def map_elements(
 def by_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """Spread compact rows by their key before they are exploded. The number of
     partitions is named, as rows are about to grow many times and a size-based
-    merge of small partitions would leave too few tasks."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merge of small partitions would leave too few tasks; it grows with the
+    splits of the input."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     return df.repartition(n, *[F.col(k) for k in keys])
 
 

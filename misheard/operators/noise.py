@@ -8,7 +8,7 @@ from misheard.functions.text import bind, chars
 from misheard.operators.confusion import candidates
 from misheard.operators.joins import BROADCAST_ROWS, by_key, map_elements, require_strings
 
-_CUT, _KEEP = "\u0001", "\u0002"     # never part of cleaned text
+_CUT, _KEEP = "|", "-"     # marks of single characters: a chunk ends here, or goes on
 _HEX = "0123456789abcdef"
 
 
@@ -18,7 +18,8 @@ def random_chunks(rs: Column, text: Column, sizes: tuple = K.CHUNK_SIZES) -> Col
 
     Each hex digit of a digest draws one size, so the number of sizes has to
     divide 16 (repeat sizes to weight them). Sizes are written out as marks, one
-    per character, which makes the running sum a string concatenation.
+    per character, which makes the running sum a string concatenation; chunks
+    are cut at the places of the marks, so any character may stand in the text.
     """
     if not sizes or 16 % len(sizes):
         raise ValueError("the number of chunk sizes has to divide 16")
@@ -35,11 +36,21 @@ def random_chunks(rs: Column, text: Column, sizes: tuple = K.CHUNK_SIZES) -> Col
     marks = F.translate(digits, _HEX, letters)
     for i, s in enumerate(sizes):
         marks = F.replace(marks, F.lit(chr(ord("g") + i)), F.lit(_KEEP * (s - 1) + _CUT))
-    marked = F.array_join(
-        F.zip_with(chars(text), F.split(F.substr(marks, F.lit(1), n), ""), lambda c, m: F.concat(c, m)), ""
+    places = F.transform(F.split(F.substr(marks, F.lit(1), n), ""), lambda m, i: F.when(m == _CUT, i + 1))
+    ends = F.filter(places, lambda e: e.isNotNull())
+
+    def cut(parts: Column) -> Column:
+        """Chunks between the ends of struct<c: characters, e: ends>."""
+        start = lambda k: F.coalesce(F.get(parts["e"], k - 1), F.lit(0))
+        return F.transform(
+            parts["e"], lambda e, k: F.array_join(F.slice(parts["c"], start(k) + 1, e - start(k)), "")
+        )
+
+    # the last chunk ends with the text
+    ends = F.array_distinct(F.concat(ends, F.array(n)))
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(
+        bind(F.struct(chars(text).alias("c"), ends.alias("e")), cut)
     )
-    pieces = F.split(F.replace(marked, F.lit(_KEEP), F.lit("")), _CUT, -1)
-    return F.filter(pieces, lambda p: p != "")
 
 
 def corrupt(
@@ -55,7 +66,7 @@ def corrupt(
 ) -> DataFrame:
     """Add the corrupted text to (keys, text). `keys` has to be unique.
 
-    `truncate_to=3` cuts chunks that stay unmapped to three characters.
+    `truncate_to=3` cuts chunks and replacements to three characters.
     """
     require_strings(df, text)
     rows = by_key(df.select(*keys, text), keys).withColumn("_rs", row_seed(seed, *[F.col(k) for k in keys]))
@@ -63,7 +74,10 @@ def corrupt(
     kept = F.col("chunk") if truncate_to is None else F.substr("chunk", F.lit(1), F.lit(truncate_to))
 
     at = F.pmod(wide_draw(F.col("_rs"), F.col("_pos")), F.col("total"))
-    replaced = F.coalesce(pick(F.col("_at"), F.col("total"), F.col("slots")), kept)
+    chosen = pick(F.col("_at"), F.col("total"), F.col("slots"))
+    if truncate_to is not None:
+        chosen = F.substr(chosen, F.lit(1), F.lit(truncate_to))
+    replaced = F.coalesce(chosen, kept)
     done = map_elements(
         rows, [*keys, "_rs"], "_chunks", "chunk", candidates(table).persist(), "left", replaced, "_out",
         [text], {"_at": at}, max_rows,

@@ -9,7 +9,7 @@ from misheard.functions.align import align_column, sweep_column
 from misheard.functions.text import chars
 from misheard.operators.joins import require_strings
 
-OK_EQUAL, EMPTY, TOO_DIFFERENT, ALIGN = "equal", "empty", "too_different", "align"
+NULL, OK_EQUAL, EMPTY, TOO_DIFFERENT, ALIGN = "null", "equal", "empty", "too_different", "align"
 
 
 def pad_pair(ref: Column, hyp: Column) -> tuple[Column, Column]:
@@ -19,10 +19,11 @@ def pad_pair(ref: Column, hyp: Column) -> tuple[Column, Column]:
 
 
 def pair_status(ref: Column, hyp: Column) -> Column:
-    """`empty`, `equal`, `too_different` or `align`."""
+    """`null`, `empty`, `equal`, `too_different` or `align`."""
     a, b = F.length(ref), F.length(hyp)
     return (
-        F.when((a == 0) | (b == 0), EMPTY)
+        F.when(ref.isNull() | hyp.isNull(), NULL)
+        .when((a == 0) | (b == 0), EMPTY)
         .when(ref == hyp, OK_EQUAL)
         # |a-b| / max >= cut, in whole numbers
         .when(F.abs(a - b) * 10 >= F.greatest(a, b) * int(K.LENGTH_RATIO_CUT * 10), TOO_DIFFERENT)

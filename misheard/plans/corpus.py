@@ -41,7 +41,9 @@ def _cut_value(df: DataFrame, key: str, n: int) -> tuple | None:
     """(v, below): the value of an integer key where the first n rows end, and
     the rows with smaller values. Narrows a range of values by counts per
     bucket, so no row is sorted or moved."""
-    lo, hi, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    lo, hi, rows, known = df.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.count(key)).first()
+    if known < rows:
+        raise ValueError(f"{rows - known} rows have no {key}, so they have no place in the order")
     if rows <= n:
         return None
     below = 0

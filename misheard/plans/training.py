@@ -8,7 +8,7 @@ from misheard import constants as K
 from misheard.functions.text import render_pair, with_markers, within_budget
 from misheard.functions.windows import auto_split, balanced_split, char_windows, word_windows
 from misheard.functions.text import words
-from misheard.operators.clips import actual_sentences, evaluation_pairs, predictions_of_test
+from misheard.operators.clips import actual_sentences, evaluation_pairs
 from misheard.operators.confusion import forward_table, merge_tables, reverse_table
 from misheard.operators.noise import corrupt
 from misheard.operators.pairs import align_by_sweep, align_pairs
@@ -17,9 +17,10 @@ Tokenize = Callable[[Column], Column]
 
 
 def test_pairs(train: DataFrame, test: DataFrame, predicted: DataFrame, strict: bool = True) -> DataFrame:
-    """(path, ref, hyp) of the test split."""
+    """(path, ref, hyp): one pair per listed row of the test split."""
     actual = test.select("path").join(actual_sentences(train, test).select("path", "sentence"), "path")
-    return evaluation_pairs(actual, predictions_of_test(test, predicted), strict)
+    heard = predicted.join(test.select("path"), "path", "left_semi")
+    return evaluation_pairs(actual, heard, strict)
 
 
 def learn_confusions(pairs: DataFrame, order: int = K.CONFUSION_ORDER, ref: str = "ref", hyp: str = "hyp") -> DataFrame:

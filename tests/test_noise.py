@@ -131,3 +131,19 @@ def test_fit_and_learn(spark):
     assert more.where("chunk = 'z' and replacement = 's'").first()["cnt"] == 2
     fwd = training.learn_confusions(df)
     assert fwd.where("chunk = 'c' and replacement = 'c'").first()["cnt"] == 2
+
+
+def test_any_character_survives_corruption(spark):
+    """Control characters, marks and line breaks are text like any other."""
+    text = "ab\x02cd\x01ef|g-h\n\t|é😀" * 20
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "x")], "k long, t string")
+    table = spark.createDataFrame([("zzz", "y", 1)], "chunk string, replacement string, cnt long")
+    got = {r["k"]: r["corrupted"] for r in noise.corrupt(df, ["k"], "t", table, seed=3).collect()}
+    assert got == {1: text, 2: "", 3: "x"}
+
+
+def test_truncated_replacements(spark):
+    df = spark.createDataFrame([(k, "abcd") for k in range(20)], "k long, t string")
+    table = spark.createDataFrame([(c, "wxyz", 1) for c in ("a", "ab", "abc", "abcd")], "chunk string, replacement string, cnt long")
+    got = {r["corrupted"][:4] for r in noise.corrupt(df, ["k"], "t", table, truncate_to=2).collect()}
+    assert all(g.startswith("wx") and "y" not in g for g in got)

@@ -97,10 +97,16 @@ def test_strict_clip_joins(spark):
     with pytest.raises(Exception, match="does not exist"):
         C.classify(ask, train, test).collect()
     pred = spark.createDataFrame([("a", "si"), ("z", "q")], "path string, predicted string")
+    assert C.sentence_of(ask, train, test).count() == 1
+    with pytest.raises(Exception, match="does not exist"):
+        C.sentence_of(ask, train, test, strict=True).collect()
     with pytest.raises(Exception, match="without partner"):
         C.evaluation_pairs(C.actual_sentences(train, test), pred).collect()
-    assert [tuple(r) for r in training.test_pairs(train, test.limit(1), pred).collect()] == [("a", "sì", "si")]
-    swapped = training.validation_pairs(training.test_pairs(train, test.limit(1), pred), lambda c: F.split(c, " "), swap=True)
+    assert [tuple(r) for r in training.test_pairs(train, test, pred.union(pred)).collect()] == [("a", "sì", "si")] * 2
+    unheard = C.predictions_of_test(test, spark.createDataFrame([("z", "q")], "path string, predicted string"), strict=True)
+    with pytest.raises(Exception, match="not processed yet"):
+        unheard.collect()
+    swapped = training.validation_pairs(training.test_pairs(train, test, pred), lambda c: F.split(c, " "), swap=True)
     assert swapped.first()["line"] == "[START]~sì~[END]|[START]~si~[END]"
 
 

@@ -110,3 +110,9 @@ def test_clean_corpus_is_one_stage(table):
     plan = clean_corpus(table("documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "EvalPython" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_head_rejects_rows_without_a_key(spark):
+    df = spark.createDataFrame([(None,), (0,), (1,)], "k long")
+    with pytest.raises(ValueError, match="have no k"):
+        head(df, ["k"], 1)
