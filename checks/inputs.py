@@ -42,6 +42,15 @@ def noisy_pairs(spark: SparkSession, sf: str, seed: int = 7) -> DataFrame:
     return done.select(*SENTENCE_KEY, F.col("sentence").alias("ref"), F.col("corrupted").alias("hyp"))
 
 
+def part_pairs(spark: SparkSession, sf: str, seed: int = 7) -> DataFrame:
+    """(p_partkey, ref, hyp): descriptions of parts and their corruption; short
+    enough for SQL to spell out every alignment."""
+    name = F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    parts = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", name.alias("ref"))
+    done = corrupt(parts, ["p_partkey"], "ref", seed_table(spark), seed)
+    return done.withColumnRenamed("corrupted", "hyp")
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """(conv_id, turn, ref, hyp): each turn with the next one, cleaned. Mostly
     unrelated texts of different lengths."""

@@ -173,6 +173,56 @@ edits AS (SELECT conv_id, turn, d AS edits, len(a) AS ref_words
   FROM dp JOIN scored USING (conv_id, turn) WHERE i = len(a) AND j = len(b))"""
 
 
+def aligned(source: str, keys: list, band: int | None, name: str) -> str:
+    """name(keys, ref_aln, hyp_aln): the alignment of (ref, hyp), spelled out.
+
+    `best[i + 1][j + 1]` is the largest number of links within ref[i:], hyp[j:],
+    row by row from the last one; a walk from the start takes a link where it
+    may, else moves on in ref if that keeps the largest number, else in hyp.
+    Folds carry one type, so their elements are shaped like the state.
+    """
+    k = ", ".join(keys)
+    near = "" if band is None else f" AND abs(i - j + 1) < {band}"
+    near_walk = "" if band is None else f" AND abs(s.i - s.j) < {band}"
+    return f"""padded_{name} AS (
+  SELECT {k}, ref, hyp, n, string_split(rpad(ref, n, '?'), '') AS a, string_split(rpad(hyp, n, '?'), '') AS b
+  FROM (SELECT *, greatest(length(ref), length(hyp))::INTEGER AS n FROM {source}) WHERE n > 0),
+tables_{name} AS (
+  SELECT *, list_reduce(
+    list_prepend([list_transform(range(0, n + 1), lambda j: 0)], list_transform(range(n - 1, -1, -1), lambda i: [[i::INTEGER]])),
+    lambda rows, e: list_prepend(
+      list_transform(range(1, n + 2), lambda j: coalesce(list_max(
+        list_transform(range(1, n + 1), lambda jj: CASE WHEN jj < j THEN 0
+          WHEN a[e[1][1] + 1] = b[jj] {near.replace("i - j + 1", "e[1][1] - jj + 1")} THEN rows[1][jj + 1] + 1
+          ELSE rows[1][jj] END)), 0)::INTEGER), rows)) AS best
+  FROM padded_{name}),
+walks_{name} AS (
+  SELECT {k}, ref, hyp, n, a, b, list_reduce(
+    list_transform(range(0, 2 * n + 1), lambda s: {{'i': 0, 'j': 0, 'links': [[0, 0]][:0]}}),
+    lambda s, e: CASE WHEN best[s.i + 1][s.j + 1] = 0 THEN s
+      WHEN a[s.i + 1] = b[s.j + 1]{near_walk} THEN {{'i': s.i + 1, 'j': s.j + 1, 'links': list_append(s.links, [s.i, s.j])}}
+      WHEN best[s.i + 2][s.j + 1] = best[s.i + 1][s.j + 1] THEN {{'i': s.i + 1, 'j': s.j, 'links': s.links}}
+      ELSE {{'i': s.i, 'j': s.j + 1, 'links': s.links}} END).links AS links
+  FROM tables_{name}),
+runs_{name} AS (
+  SELECT *, coalesce(lag(i) OVER w + 1, 0) AS pi, coalesce(lag(j) OVER w + 1, 0) AS pj FROM (
+    SELECT {k}, ref, hyp, n, a, b, unnest(list_append(links, [n, n])) AS l, l[1] AS i, l[2] AS j,
+      generate_subscripts(list_append(links, [n, n]), 1) AS no FROM walks_{name})
+  WINDOW w AS (PARTITION BY {k} ORDER BY no)),
+sides_{name} AS (
+  SELECT *, array_to_string(a[pi + 1:i], '') || repeat('?', greatest(j - i, 0)) AS x,
+    array_to_string(b[pj + 1:j], '') || repeat('?', greatest(i - j, 0)) AS y FROM runs_{name}),
+columns_{name} AS (
+  SELECT *, list_filter(list_zip(string_split(lpad(x, w, '?'), ''), string_split(lpad(y, w, '?'), '')),
+    lambda c: c[1] <> '?' OR c[2] <> '?') AS cols
+  FROM (SELECT *, greatest(length(x), length(y))::INTEGER AS w FROM sides_{name})),
+{name} AS (
+  SELECT {k}, any_value(ref) AS ref, any_value(hyp) AS hyp,
+    string_agg(coalesce(array_to_string(list_transform(cols, lambda c: c[1]), ''), '') || coalesce(a[i + 1], ''), '' ORDER BY no) AS ref_aln,
+    string_agg(coalesce(array_to_string(list_transform(cols, lambda c: c[2]), ''), '') || coalesce(b[j + 1], ''), '' ORDER BY no) AS hyp_aln
+  FROM columns_{name} GROUP BY ALL)"""
+
+
 def add(name: str, sql: str) -> None:
     ORACLES[name] = sql
 
@@ -306,6 +356,19 @@ SELECT conv_id, turn, '[START]' || coalesce(t, '') || '[END]' AS text FROM turns
 add("pad_pairs", f"WITH {PADDED} SELECT * FROM padded")
 add("gaps_restore_inputs", f"""WITH {SENT}, {SEEDS}, {corrupted('sentences', SK, 'sentence', 7)}
   SELECT doc_id, line_no, sent_no, sentence AS ref, corrupted AS hyp, true AS same_length FROM noisy""")
+PARTS = f"""parts AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' ' || p_brand) AS name FROM part), {SEEDS},
+{corrupted('parts', ['p_partkey'], 'name', 7)},
+part_pairs AS (SELECT p_partkey, name AS ref, corrupted AS hyp FROM noisy)"""
+add("unbanded_part_alignment", f"""WITH {PARTS}, {aligned('part_pairs', ['p_partkey'], None, 'found')}
+  SELECT p_partkey, ref, hyp, ref_aln, hyp_aln FROM found""")
+add("banded_part_alignment", f"""WITH {PARTS}, {aligned('part_pairs', ['p_partkey'], 10, 'found')},
+guarded AS (SELECT *, CASE WHEN ref = '' OR hyp = '' THEN 'empty' WHEN ref = hyp THEN 'equal'
+    WHEN abs(length(ref) - length(hyp)) * 10 >= greatest(length(ref), length(hyp)) * 8 THEN 'too_different'
+    ELSE 'align' END AS status FROM part_pairs)
+  SELECT p_partkey, g.ref, g.hyp, status,
+    CASE status WHEN 'equal' THEN g.ref WHEN 'align' THEN ref_aln END AS ref_aln,
+    CASE status WHEN 'equal' THEN g.hyp WHEN 'align' THEN hyp_aln END AS hyp_aln
+  FROM guarded g LEFT JOIN found USING (p_partkey)""")
 add("column_pairs", f"""WITH {PADDED} SELECT conv_id, turn, (generate_subscripts(r, 1) - 1)::INTEGER AS col,
   unnest(r) AS ref_ch, unnest(h) AS hyp_ch FROM (
   SELECT conv_id, turn, string_split(ref_aln, '') AS r, string_split(hyp_aln, '') AS h FROM padded WHERE ref_aln <> '')""")

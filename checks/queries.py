@@ -312,6 +312,16 @@ def unbanded_alignment(spark, sf):
     return P.align_windows(I.noisy_pairs(spark, sf)).select(*SK, "ref_aln", "hyp_aln")
 
 
+@query
+def unbanded_part_alignment(spark, sf):
+    return P.align_windows(I.part_pairs(spark, sf)).select("p_partkey", "ref", "hyp", "ref_aln", "hyp_aln")
+
+
+@query
+def banded_part_alignment(spark, sf):
+    return P.align_pairs(I.part_pairs(spark, sf)).select("p_partkey", "ref", "hyp", "status", "ref_aln", "hyp_aln")
+
+
 @query
 def sweep_alignment(spark, sf):
     swept = P.sweep_pairs(I.noisy_pairs(spark, sf)).select(*SK, F.inline("sweeps"))
