@@ -70,14 +70,17 @@ PADDED = TURNS + """, padded AS (
 
 
 def wins(n_min: int, n_max: int, source: str = "padded", name: str = "wins") -> str:
-    """Windows over character lists; joining characters beats cutting long strings."""
+    """Windows over character lists: the longest one per place is joined once,
+    the shorter ones are its beginnings."""
     return f"""chars_{name} AS (
   SELECT *, string_split(ref_aln, '') AS _r, string_split(hyp_aln, '') AS _h, length(ref_aln) AS _n FROM {source}),
+longest_{name} AS (
+  SELECT conv_id, turn, "at", _n - "at" + 1 AS _left, array_to_string(_r["at":"at" + {n_max - 1}], '') AS _rw,
+         array_to_string(_h["at":"at" + {n_max - 1}], '') AS _hw
+  FROM (SELECT *, unnest(range(1, _n + 1)) AS "at" FROM chars_{name})),
 {name} AS (
-  SELECT conv_id, turn, n, "at", array_to_string(_r["at":"at" + n - 1], '') AS ref_win,
-         array_to_string(_h["at":"at" + n - 1], '') AS hyp_win
-  FROM (SELECT *, unnest(range(1, (_n - n + 2)::BIGINT)) AS "at"
-        FROM chars_{name}, (SELECT unnest(range({n_min}, {n_max + 1})) AS n) AS orders WHERE _n >= n))"""
+  SELECT conv_id, turn, n, "at", substr(_rw, 1, n) AS ref_win, substr(_hw, 1, n) AS hyp_win
+  FROM longest_{name}, (SELECT unnest(range({n_min}, {n_max + 1})) AS n) AS orders WHERE _left >= n)"""
 
 
 def forward(source: str = "wins") -> str:
