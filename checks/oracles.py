@@ -226,6 +226,64 @@ columns_{name} AS (
   FROM columns_{name} GROUP BY ALL)"""
 
 
+def _window(source: str) -> str:
+    """`source` (with x and y of equal length w) and its alignment nx, ny, without
+    rows of other tables, so that a recursion may use it. Gaps that are linked to
+    each other go."""
+    side = lambda s, p: f"""array_to_string(list_transform(range(1, len(links) + 2), lambda k: array_to_string(list_transform(
+      list_filter(list_zip(string_split(lpad(runs[k].x, greatest(length(runs[k].x), length(runs[k].y))::INTEGER, '?'), ''),
+                           string_split(lpad(runs[k].y, greatest(length(runs[k].x), length(runs[k].y))::INTEGER, '?'), '')),
+        lambda c: c[1] <> '?' OR c[2] <> '?'), lambda c: c[{p}]), '')
+      || coalesce(nullif({s}[all_links[k][{p}] + 1], '?'), '')), '')"""
+    return f"""(SELECT * EXCLUDE (a_, b_, best, links, all_links, runs),
+    CASE WHEN x = y THEN replace(x, '?', '') ELSE {side('a_', 1)} END AS nx,
+    CASE WHEN x = y THEN replace(y, '?', '') ELSE {side('b_', 2)} END AS ny FROM (
+  SELECT *, list_transform(range(1, len(links) + 2), lambda k: {{
+      'x': array_to_string(a_[coalesce(all_links[k - 1][1] + 2, 1):all_links[k][1]], '') || repeat('?', greatest(all_links[k][2] - all_links[k][1], 0)),
+      'y': array_to_string(b_[coalesce(all_links[k - 1][2] + 2, 1):all_links[k][2]], '') || repeat('?', greatest(all_links[k][1] - all_links[k][2], 0))}}) AS runs FROM (
+  SELECT *, list_append(links, [length(x)::INTEGER, length(x)::INTEGER]) AS all_links FROM (
+  SELECT *, CASE WHEN x = y THEN [[0, 0]][:0] ELSE list_reduce(
+    list_transform(range(0, 2 * length(x) + 1), lambda s: {{'i': 0, 'j': 0, 'links': [[0, 0]][:0]}}),
+    lambda s, e: CASE WHEN best[s.i + 1][s.j + 1] = 0 THEN s
+      WHEN a_[s.i + 1] = b_[s.j + 1] THEN {{'i': s.i + 1, 'j': s.j + 1, 'links': list_append(s.links, [s.i, s.j])}}
+      WHEN best[s.i + 2][s.j + 1] = best[s.i + 1][s.j + 1] THEN {{'i': s.i + 1, 'j': s.j, 'links': s.links}}
+      ELSE {{'i': s.i, 'j': s.j + 1, 'links': s.links}} END).links END AS links FROM (
+  SELECT *, CASE WHEN x = y THEN [[0]] ELSE list_reduce(
+    list_prepend([list_transform(range(0, length(x) + 1), lambda j: 0)], list_transform(range(length(x) - 1, -1, -1), lambda i: [[i::INTEGER]])),
+    lambda rows, e: list_prepend(list_transform(range(1, length(x) + 2), lambda j: coalesce(list_max(
+      list_transform(range(1, length(x) + 1), lambda jj: CASE WHEN jj < j THEN 0
+        WHEN a_[e[1][1] + 1] = b_[jj] THEN rows[1][jj + 1] + 1 ELSE rows[1][jj] END)), 0)::INTEGER), rows)) END AS best FROM (
+  SELECT *, string_split(x, '') AS a_, string_split(y, '') AS b_ FROM {source}))))))"""
+
+
+def swept(source: str, keys: list, configs: tuple) -> str:
+    """sweeps(keys, cfg, score, ref_aln, hyp_aln); the statement has to be
+    recursive. A round of the recursion moves every window of every pair on."""
+    k = ", ".join(keys)
+    each = " UNION ALL ".join(f"SELECT {c} AS cfg, {w} AS win, {s} AS stride" for c, (w, s) in enumerate(configs))
+    step = _window(f"""(SELECT *, substr(xa, 1, win) AS x, substr(xb, 1, win) AS y FROM (
+    SELECT *, open_a || substr(a, read + 1, more) AS xa, open_b || substr(b, read + 1, more) AS xb, read + more AS read2 FROM (
+    SELECT *, greatest(0, win - length(open_a))::INTEGER AS more FROM moves WHERE start + win < size)))""")
+    last = _window("""(SELECT *, open_a || substr(a, read + 1) AS x, open_b || substr(b, read + 1) AS y FROM moves
+    WHERE start + win >= size)""")
+    return f"""moves AS (
+  SELECT {k}, cfg, win, stride, n, rpad(ref, n, '?') AS a, rpad(hyp, n, '?') AS b, '' AS done_a, '' AS done_b, '' AS open_a,
+    '' AS open_b, 0 AS read, 0 AS start, n AS size
+  FROM (SELECT *, greatest(length(ref), length(hyp))::INTEGER AS n FROM {source}), ({each}) AS configs WHERE n > 0 AND ref <> hyp
+  UNION ALL
+  SELECT {k}, cfg, win, stride, n, a, b, done_a || substr(oa, 1, stride), done_b || substr(ob, 1, stride),
+    substr(oa, stride + 1), substr(ob, stride + 1), read3, start + stride, size2 FROM (
+    SELECT *, oa1 || substr(a, read2 + 1, short) AS oa, ob1 || substr(b, read2 + 1, short) AS ob, read2 + short AS read3 FROM (
+    SELECT *, greatest(0, stride - length(oa1))::INTEGER AS short FROM (
+    SELECT *, nx || substr(xa, win + 1) AS oa1, ny || substr(xb, win + 1) AS ob1, (size + length(nx) - win)::INTEGER AS size2
+    FROM {step} AS w) AS o) AS p) AS q),
+swept AS (SELECT {k}, cfg, n, done_a || nx AS ref_aln, done_b || ny AS hyp_aln FROM {last} AS w),
+sweeps AS (
+  SELECT {k}, cfg, len(list_filter(list_zip(string_split(substr(ref_aln, 1, n), ''), string_split(hyp_aln, '')),
+    lambda c: c[1] = c[2])) / n AS score, ref_aln, hyp_aln FROM swept
+  UNION ALL SELECT {k}, cfg, 1.0, ref, hyp FROM {source}, ({each}) AS configs WHERE ref = hyp AND ref <> '')"""
+
+
 def add(name: str, sql: str) -> None:
     ORACLES[name] = sql
 
@@ -364,6 +422,16 @@ PARTS = f"""parts AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' ' ||
 part_pairs AS (SELECT p_partkey, name AS ref, corrupted AS hyp FROM noisy)"""
 add("unbanded_part_alignment", f"""WITH {PARTS}, {aligned('part_pairs', ['p_partkey'], None, 'found')}
   SELECT p_partkey, ref, hyp, ref_aln, hyp_aln FROM found""")
+SWEEPS = swept("part_pairs", ["p_partkey"], ((3, 2), (6, 2), (7, 3), (8, 3), (9, 5)))
+BEST = """best AS (
+  SELECT p_partkey, round(score, 6) AS score, CASE WHEN score > 0 THEN cfg::INTEGER END AS cfg,
+    CASE WHEN score > 0 THEN ref_aln ELSE ' ' END AS ref_aln, CASE WHEN score > 0 THEN hyp_aln ELSE ' ' END AS hyp_aln
+  FROM sweeps QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, cfg) = 1)"""
+add("part_sweeps", f"""WITH RECURSIVE {PARTS}, {SWEEPS}
+  SELECT p_partkey, cfg::INTEGER AS cfg, round(score, 6) AS score, ref_aln, hyp_aln FROM sweeps""")
+add("part_best_alignment", f"WITH RECURSIVE {PARTS}, {SWEEPS}, {BEST} SELECT * FROM best")
+add("part_confusions", f"""WITH RECURSIVE {PARTS}, {SWEEPS}, {BEST}, named AS (SELECT *, p_partkey AS conv_id, 0 AS turn FROM best),
+{wins(1, 3, 'named')} {forward()}""")
 add("banded_part_alignment", f"""WITH {PARTS}, {aligned('part_pairs', ['p_partkey'], 10, 'found')},
 guarded AS (SELECT *, CASE WHEN ref = '' OR hyp = '' THEN 'empty' WHEN ref = hyp THEN 'equal'
     WHEN abs(length(ref) - length(hyp)) * 10 >= greatest(length(ref), length(hyp)) * 8 THEN 'too_different'

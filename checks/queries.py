@@ -322,6 +322,25 @@ def banded_part_alignment(spark, sf):
     return P.align_pairs(I.part_pairs(spark, sf)).select("p_partkey", "ref", "hyp", "status", "ref_aln", "hyp_aln")
 
 
+@query
+def part_sweeps(spark, sf):
+    swept = P.sweep_pairs(I.part_pairs(spark, sf)).select("p_partkey", F.inline("sweeps"))
+    return swept.select("p_partkey", "cfg", F.round("score", 6).alias("score"), "ref_aln", "hyp_aln")
+
+
+@query
+def part_best_alignment(spark, sf):
+    best = P.align_by_sweep(I.part_pairs(spark, sf)).where(F.col("ref_aln").isNotNull())
+    return best.select("p_partkey", F.round("score", 6).alias("score"), "cfg", "ref_aln", "hyp_aln")
+
+
+@query
+def part_confusions(spark, sf):
+    """Corrupted, swept, and learned from: what top_confusions does, on texts
+    that SQL can follow."""
+    return training.learn_confusions(I.part_pairs(spark, sf))
+
+
 @query
 def sweep_alignment(spark, sf):
     swept = P.sweep_pairs(I.noisy_pairs(spark, sf)).select(*SK, F.inline("sweeps"))
