@@ -4,7 +4,7 @@ Links between equal characters, none crossing, as many as possible, optionally
 only between positions less than `band` apart: a (banded) longest common
 subsequence. Built-in functions cannot express the walk back through the table,
 so it runs in an Arrow function, map-only, on whatever partitioning the pairs
-already have. Repeated pairs in one task are aligned once.
+already have. Repeated pairs of one batch are aligned once.
 """
 
 from collections.abc import Iterator
@@ -226,6 +226,45 @@ def align_column(ref: Column, hyp: Column, band: int | None = ALIGN_BAND) -> Col
     return run.asNondeterministic()(ref, hyp)   # not to be run twice by pushed filters
 
 
+def best_sweep_strings(a: str, b: str, configs: list, cache: dict) -> tuple:
+    """Score, configuration, and both strings of the highest score, the first
+    configuration on ties. All zero gives a single space on both sides."""
+    if a == b:
+        return 1.0, 0, a, b
+    best = (0.0, None, " ", " ")
+    for k, (window, stride) in enumerate(configs):
+        score, x, y = sweep_strings(a, b, window, stride, cache)
+        if score > best[0]:
+            best = (score, k, x, y)
+        if score >= 1:
+            break
+    return best
+
+
+def best_sweep_column(ref: Column, hyp: Column, configs=SWEEP_CONFIGS) -> Column:
+    """The best sweep outcome as plain columns; null for a null input or two
+    empty strings."""
+    configs = [tuple(c) for c in configs]
+
+    @F.pandas_udf("score double, cfg int, ref_aln string, hyp_aln string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        cache: dict = {}
+        for refs, hyps in batches:
+            seen: dict = {}
+            out = []
+            for pair in zip(refs, hyps):
+                if pair[0] is None or pair[1] is None or pair == ("", ""):
+                    out.append((None, None, None, None))
+                    continue
+                if pair not in seen:
+                    seen[pair] = best_sweep_strings(*pair, configs, cache)
+                out.append(seen[pair])
+            found = pd.DataFrame(out, columns=["score", "cfg", "ref_aln", "hyp_aln"])
+            yield found.astype({"score": "float64", "cfg": "Int32"})
+
+    return run.asNondeterministic()(ref, hyp)
+
+
 SWEEP_TYPE = "array<struct<cfg:int,score:double,ref_aln:string,hyp_aln:string>>"
 
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from misheard import constants as K
-from misheard.functions.align import align_column, sweep_column
+from misheard.functions.align import align_column, best_sweep_column, sweep_column
 from misheard.functions.text import chars
 from misheard.operators.joins import require_strings
 
@@ -95,7 +95,14 @@ def best_sweep(df: DataFrame) -> DataFrame:
 
 
 def align_by_sweep(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    return best_sweep(sweep_pairs(df, ref, hyp))
+    """`best_sweep` of `sweep_pairs` at once: only the best outcome is kept."""
+    require_strings(df, ref, hyp)
+    found = ("score", "cfg", "ref_aln", "hyp_aln")
+    return (
+        df.withColumn("_best", best_sweep_column(F.col(ref), F.col(hyp)))
+        .withColumns({c: F.col(f"_best.{c}") for c in found})
+        .drop("_best")
+    )
 
 
 def column_pairs(df: DataFrame, keys: list[str], ref: str = "ref_aln", hyp: str = "hyp_aln") -> DataFrame:
