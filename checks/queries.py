@@ -167,6 +167,12 @@ def auto_split_chars(spark, sf):
     )
 
 
+@query
+def auto_split_bpe(spark, sf):
+    """Every subword piece one token."""
+    return training.budget_rows(I.sentences(spark, sf), SK, bpe.token_lengths(_bpe(spark, sf)))
+
+
 @query
 def aligned_windows(spark, sf):
     wins = confusion.aligned_windows(I.padded_turns(spark, sf), TURN, 3, 3)

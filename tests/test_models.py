@@ -165,3 +165,35 @@ def test_token_budget(spark):
     df = spark.createDataFrame([(words(29), words(3)), (words(30), words(3)), (words(3), words(30))], "a string, b string")
     kept = df.where(T.within_budget(*(T.with_markers(T.words(F.col(c))) for c in "ab")))
     assert kept.count() == 1
+
+
+def test_long_words_and_piece_counts(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+
+    def slowly(parts, ranks):
+        while True:
+            found = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2:]]
+
+    ranks = {p: n for n, p in enumerate([("a", "b"), ("b", "a"), ("a", "a"), ("ab", "a"), ("aa", "ab"), ("aba", "b"), ("ab", "ab")])}
+    for _ in range(200):
+        parts = [rng.choice(["a", "b", None]) for _ in range(rng.randrange(30))]
+        assert bpe.merge_symbols([*parts], ranks) == slowly(parts, ranks)
+    start = time.perf_counter()
+    bpe.merge_symbols(list("ab" * 50_000), ranks)
+    assert time.perf_counter() - start < 10
+
+    df = spark.createDataFrame([(1, "abab ab's bab, x"), (2, "")], "k long, t string")
+    model = bpe.train_bpe(df, "t", 20)
+    from misheard.functions.text import words
+
+    rows = df.withColumn("w", words(F.col("t"))).select("k", "w", bpe.token_lengths(model)(F.col("w")).alias("n")).collect()
+    one = spark.createDataFrame([(w,) for w in rows[0]["w"]], "t string")
+    each = {r["t"]: len(r["tokens"]) for r in bpe.encode(one, "t", model, "tokens").collect()}
+    assert [each[w] for w in rows[0]["w"]] == rows[0]["n"] and rows[1]["n"] == []
