@@ -280,7 +280,14 @@ def ids_with_oov(spark, sf):
     """Words looked up in a word vocabulary of the benchmark texts."""
     b = I.table(spark, sf, "benchmark").select(T.purify(F.col("text")).alias("t"))
     found = b.select(F.explode(T.words(F.col("t"))).alias("token")).distinct()
-    vocab = found.select("token", (F.row_number().over(Window.orderBy("token")) - 1).cast("int").alias("id"))
+    # numbered within two-letter starts, whose few counts are summed up first
+    found = found.withColumn("start", F.substr("token", F.lit(1), F.lit(2)))
+    before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = found.groupBy("start").agg(F.count(F.lit(1)).alias("n")).select(
+        "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
+    )
+    place = F.row_number().over(Window.partitionBy("start").orderBy("token")) - 1
+    vocab = found.join(starts, "start").select("token", (F.col("first") + place).cast("int").alias("id"))
     rows = I.turns(spark, sf).select(*TURN, T.words(F.col("ref")).alias("tokens"))
     done = chartok.ids_with_buckets(rows, TURN, "tokens", vocab, 5)
     return done.select(*TURN, F.array_join(done["ids"].cast("array<string>"), " ").alias("ids"))
