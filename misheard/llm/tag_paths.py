@@ -40,7 +40,7 @@ NAMES = re.compile(
     r"""(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|foot\w*|sidebar\w*|side-?bar"""
     r"""|comment\w*|disqus\w*|respond|repl(?:y|ies)|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay\w*"""
     r"""|share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|pagination|pager"""
-    r"""|widget\w*|masthead|copyright|legal|disclaimer|skip(?:-?link)?|toolbar|search)(?![a-z])""",
+    r"""|widget\w*|alert\w*|(?:site|page|top)[-_]?header|top[-_]?bar|masthead|copyright|legal|disclaimer|skip(?:-?link)?|toolbar|search)(?![a-z])""",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
