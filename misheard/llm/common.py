@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from misheard.operators.joins import checkpoint_dir, is_small, spread_join
+from misheard.operators.joins import BROADCAST_ROWS, checkpoint_dir, is_small, spread_join
 
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,12 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def attach(
-    left: DataFrame, right: DataFrame, on: list[str], rows: str, salt_by: list[str], how: str = "inner"
+    left: DataFrame, right: DataFrame, on: list[str], rows: str, salt_by: list[str], how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join (inner or left) to a table with one row per key that is cut from its lineage:
-    broadcast if it counts few rows, else shuffled with hot keys spread by the
+    broadcast if it counts at most `max_rows`, else shuffled with hot keys spread by the
     `salt_by` columns. `rows` is its column with the left rows of each key."""
-    if is_small(right):
+    if is_small(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     return spread_join(left, right, on, how, salt_by, left_rows=rows)
 

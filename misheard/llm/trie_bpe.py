@@ -23,7 +23,8 @@ from os.path import commonprefix
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHED_WORDS = 300_000
+# Entries of each table that a task keeps between walks.
+CACHED = 100_000
 # Texts of these characters are split by a character class; others by the file's
 # own normalizer and splitter, whose tables of letters may be of another version.
 _LATIN = 0x180
@@ -181,8 +182,6 @@ class WordBpe:
 
     def _learn(self, words: set[str]) -> None:
         """Encode words into the cache."""
-        if len(self._pairs) > 4 * CACHED_WORDS:
-            self._pairs.clear()
         new = {}
         for w in words:
             if w[0] == "\0" and w[1:] in self.special:
@@ -196,19 +195,26 @@ class WordBpe:
         self.ids[word] = b"".join([t.to_bytes(4, "little") for t in tokens])
         self.decoded[word] = " ".join([self.strings[t] for t in tokens]).encode()
 
+    def forget(self) -> None:
+        for table in (self.ids, self.decoded, self._pairs, self._states, *self._spines):
+            table.clear()
+
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
         split = [self.pieces(t) for t in texts]
         new = set().union(*split)
-        if len(self.ids) > CACHED_WORDS:
+        if len(self.ids) > CACHED:
             self.ids.clear()
             self.decoded.clear()
+        for table in (self._pairs, self._states):
+            if len(table) > CACHED:
+                table.clear()
         self._learn(new.difference(self.ids))
         ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
         return [(b"".join(map(ids, words)), b" ".join(map(decoded, words))) for words in split]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(text: str) -> WordBpe:
     return WordBpe(text)
 
@@ -247,7 +253,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
 
 
 # Texts encoded together: their distinct words share one walk.
-_CHARS_PER_WALK = 4_000_000
+_CHARS_PER_WALK = 2_000_000
 
 
 def _map(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns, schema: str) -> DataFrame:
@@ -265,6 +271,8 @@ def _map(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns, s
                     got = columns(model.encode_batch(part))
                     yield pa.RecordBatch.from_arrays([ids.slice(start, k + 1 - start), *got], names=names)
                     start, chars = k + 1, 0
+        # the worker may go on to other work
+        model.forget()
 
     names = [id_col, *[c.split()[0] for c in schema.split(", ")]]
     kind = docs.schema[id_col].dataType.simpleString()
