@@ -13,8 +13,9 @@ of a bucket are split by the identifier of all text around them: where several
 agree, all strings of their runs are repeated, however many copies there are.
 Then one anchor per such class is compared with the other classes of its bucket,
 string by string, by sorting on (bucket, offset, identifier of the string). A
-bucket of more than `BUCKET_CLASSES` classes is not held together: its strings
-are dealt out by these three values instead.
+bucket of more than `BUCKET_CLASSES` classes is not held together: its runs are
+cut into blocks of strings, which are refined in the same way, and the strings of
+the blocks that are still open are dealt out by these three values.
 
 Texts are bytes; a repeated string may start in the same document, and overlaps
 count. Null and empty texts have nothing to remove. Rows that repeat an id are
@@ -30,14 +31,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from misheard.llm.common import parts_for, shared_path
+from misheard.llm.common import cut, parts_for, shared_path
+from misheard.operators.joins import is_small
 
 LENGTH = 400
 GRAM = 64
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_CLASSES = 1_000
+BLOCK_STRINGS = 16
 _CHUNK = 1 << 18
 _PLACE_BITS = 20
+_SEEDS = (1 << 64) - 1
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _BYTE_NAMES = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 9) for b in range(256)], np.uint64)
 
@@ -221,26 +225,71 @@ def _refined_together(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(run, _MARK)
 
 
+def _blocks(contexts: DataFrame, length: int) -> DataFrame:
+    """The runs of contexts cut at every `BLOCK_STRINGS` offsets from the anchor:
+    `shared` names what all strings of such a block have in common, `whole` names
+    all that the part of it in this run covers."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in names]
+            for bucket, _, single, key, anchor, first, text in zip(*(c.to_pylist() for c in batch.columns)):
+                low, high = anchor - (first + len(text) - length), anchor - first
+                for block in range(low // BLOCK_STRINGS, high // BLOCK_STRINGS + 1):
+                    near, far = block * BLOCK_STRINGS, (block + 1) * BLOCK_STRINGS - 1
+                    # offsets count from a string's start to its anchor
+                    begin, end = max(anchor - far, first), anchor - max(near, low)
+                    part = text[begin - first : end - first + length]
+                    at = anchor - near - first
+                    shared = text[max(0, at) : at - (far - near) + length]
+                    seed = (bucket ^ block) & _SEEDS
+                    whole = xxhash.xxh3_64_intdigest(part, (seed ^ (anchor - begin << 20)) & _SEEDS)
+                    row = (xxhash.xxh3_64_intdigest(shared, seed), whole, bucket, single, key, anchor, begin, end, part)
+                    for column, value in zip(out, row):
+                        column.append(value)
+            made = [np.array(c, np.uint64).view(np.int64) for c in out[:2]] + out[2:]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, kinds)], names=names)
+
+    names = ["shared", "whole", "bucket", "single", "key", "anchor", "first", "last", "text"]
+    kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 4 + [pa.binary()]
+    schema = "shared long, whole long, bucket long, single boolean, key long, anchor long, first long, last long, text binary"
+    return contexts.mapInArrow(run, schema)
+
+
 def _refined_apart(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of any size: every string is a row."""
+    """The same for buckets of any size, by one more refinement of the same kind:
+    blocks of strings instead of runs. Only strings of blocks that differ although
+    they share their common part become rows of their own."""
+    blocks = cut(_blocks(contexts, length))
+    classes = blocks.groupBy("shared", "whole").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.struct("bucket", "single", "key", "anchor", "first", "text")).alias("one")
+    )
+    full = blocks.select("shared", "whole").groupBy("shared", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    whole_blocks = blocks.where("single").select("shared", "whole", "key", "first", "last").join(
+        full.drop("n"), ["shared", "whole"]
+    )
+    mixed = classes.groupBy("shared").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    ones = classes.join(mixed, "shared").select(
+        "one.bucket", F.col("whole").alias("class"), (F.col("one.single") & (F.col("n") == 1)).alias("single"),
+        "one.key", "one.anchor", "one.first", "one.text",
+    )
 
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), BUCKET_CLASSES):
-                rows = batch.slice(k, BUCKET_CLASSES)
-                row, place, offset, names = _strings(rows, length)
-                bucket = np.asarray(rows.column(0)).view(np.uint64)
-                full = _join(_join(bucket[row], offset.astype(np.uint64)), names)
-                single = rows.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.view(np.int64)), pa.array(np.asarray(rows.column(3))[row]), pa.array(place),
-                     pa.array(single[row])],
-                    names=["name", "key", "first", "single"],
-                )
-
-    strings = contexts.mapInArrow(run, "name long, key long, first long, single boolean")
+            row, place, offset, names = _strings(batch, length)
+            bucket = np.asarray(batch.column(0)).view(np.uint64)
+            full = _join(_join(bucket[row], offset.astype(np.uint64)), names)
+            single = batch.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full.view(np.int64)), pa.array(np.asarray(batch.column(3))[row]), pa.array(place),
+                 pa.array(single[row])],
+                names=["name", "key", "first", "single"],
+            )
+
+    strings = ones.mapInArrow(run, "name long, key long, first long, single boolean")
     again = strings.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    return strings.where("single").join(again, "name").select("key", "first", F.col("first").alias("last"))
+    singles = strings.where("single").join(again, "name").select("key", "first", F.col("first").alias("last"))
+    return whole_blocks.select("key", "first", "last").unionByName(singles)
 
 
 def _block(blocks: int):
@@ -284,19 +333,24 @@ def remove_repeats(
             source[of[k]].as_py()[a : b + length]
             for k, a, b in zip(*(wanted.column(c).to_pylist() for c in ("key", "first", "last")))
         ]
-        return wanted.select(["bucket", "class", "single", "key", "anchor", "first", "classes"]).append_column(
+        return wanted.select(["bucket", "class", "single", "key", "anchor", "first"]).append_column(
             "text", pa.array(cuts, pa.binary())
         )
 
-    contexts = dealt.groupBy("block").cogroup(ones.withColumn("block", _block(blocks)).groupBy("block")).applyInArrow(
-        cut_out, "bucket long, class long, single boolean, key long, anchor long, first long, classes long, text binary"
-    )
-    columns = ["bucket", "class", "single", "key", "anchor", "first", "text"]
-    few = contexts.where(F.col("classes") <= bucket_classes).select(*columns)
+    def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        wanted = wanted.withColumn("block", _block(blocks))
+        return texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
+            cut_out, "bucket long, class long, single boolean, key long, anchor long, first long, text binary"
+        )
+
+    few = contexts(dealt, ones.where(F.col("classes") <= bucket_classes))
     marks = whole_runs.unionByName(_refined_together(few, length))
-    if not mixed.where(F.col("classes") > bucket_classes).isEmpty():
-        many = contexts.where(F.col("classes") > bucket_classes).select(*columns)
-        marks = marks.unionByName(_refined_apart(many, length))
+    many = cut(ones.where(F.col("classes") > bucket_classes))
+    if not many.isEmpty():
+        keys = cut(many.select("key").distinct())
+        holders = rows.join(F.broadcast(keys) if is_small(keys) else keys, "key", "left_semi")
+        holders = holders.select("id", "key", "text").withColumn("block", _block(blocks)).repartition(blocks, "block")
+        marks = marks.unionByName(_refined_apart(contexts(holders, many), length))
 
     def remove(texts: pa.Table, marks: pa.Table) -> pa.Table:
         key, first, last = (np.asarray(marks.column(c)) for c in ("key", "first", "last"))
@@ -317,7 +371,7 @@ def remove_repeats(
                 kept.append(data[at:a])
                 at = b
             left = b"".join([*kept, data[at:]]) if spans else data
-            for column, value in zip(out, (len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left)):
+            for column, value in zip(out, (len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if kept_text else None)):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         made = [pa.array(c, kind) for c, kind in zip(out, kinds)]
