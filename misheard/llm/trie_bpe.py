@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Entries of each table that a task keeps between walks.
-CACHED = 100_000
+CACHED = 200_000
 # Texts of these characters are split by a character class; others by the file's
 # own normalizer and splitter, whose tables of letters may be of another version.
 _LATIN = 0x180
