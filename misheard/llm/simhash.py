@@ -135,6 +135,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
     found = near_duplicates(keyed, id_col, text_col, keep=(row,))
     found = cut(found.select("root", F.col(id_col).alias("id"), F.col(row).alias("_row")))
+    return first_of_groups(keyed, found, row, id_col)
+
+
+def first_of_groups(keyed: DataFrame, found: DataFrame, row: str, id_col: str) -> DataFrame:
+    """The first row of each group of `found` (root, id, _row), without the column
+    `row` by which the rows of `keyed` are told apart."""
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("_row"))
     first = found.groupBy("root").agg(F.min(order)["_row"].alias("_row"))
     rows = found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
