@@ -6,7 +6,8 @@ words of a ranked list, dates, repeats, keyboard walks and brute-force spans, of
 the bits each part takes to guess. The cut is found by dynamic programming from
 left to right; brute-force spans cost the same for every character, so they need
 no segments of their own and long values stay linear. Values at or over
-`min_bits` after a word such as "password" or "bearer" are spans of kind guess.
+`min_bits` after a word such as "password" or "bearer", also as the end of a name
+such as DB_PASSWORD, are spans of kind guess.
 
 Spans are (kind, start, end) in code points of the whole text, end exclusive.
 Null and empty texts have none. Documents are independent: map only; ids may be
@@ -33,12 +34,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-# Words that announce a credential, and the value that follows them.
+# Words that announce a credential, alone or as parts of a name (DB_PASSWORD,
+# dbPassword, secret_key_base), and the value that follows them, after the name of
+# an authorization scheme or not.
 CONTEXT = re.compile(
-    r"""(?i:\b(?:pass(?:word|wd|phrase|code|key)?|pwd|pin|secret|token|auth|bearer|login|credentials?"""
-    r"""|(?:api|access|private|secret)[_-]?key))["']?[ \t]*(?:=>|[:=])[ \t]*["']?([^\s"'<>,;]{6,})""",
+    r"""(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:(?:pass(?:word|wd|phrase|code|key)?|pwd|pin|secret|token"""
+    r"""|auth(?:orization)?|bearer|login|credentials?|(?:api|access|private|secret)[_-]?key)"""
+    r"""(?:[_-]?(?:key|token|secret|value|base|hash|prod|dev|test|\d{1,4})){0,3}["']?[ \t]*(?:=>|[:=])[ \t]*["']?"""
+    r"""(?:(?:bearer|basic|token)[ \t]+)?)([^\s"'<>,;]{6,})""",
     re.ASCII,
 )
+# A bearer token after white space alone; in prose the word is followed by words.
+BEARER = re.compile(
+    r"""(?<![A-Za-z0-9])(?i:bearer)[ \t]+(?=[^\s"'<>,;]*(?:[0-9]|[a-z][A-Z]))([^\s"'<>,;]{6,})""", re.ASCII
+)
 CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "token", "auth", "bearer", "login", "credential", "key")
 MIN_BITS = 40.0
 
@@ -124,12 +133,12 @@ def scan(text: str | None, words: tuple = COMMON_WORDS, min_bits: float = MIN_BI
             found += [
                 (0, m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6
             ]
-        if any(w in low for w in CONTEXT_WORDS):
-            found += [
-                (3, m.start(1), m.end(1), m.start(1))
-                for m in CONTEXT.finditer(text)
-                if guess_bits(m[1], words) >= min_bits
-            ]
+    values = set()
+    if (":" in text or "=" in text) and any(w in low for w in CONTEXT_WORDS):
+        values |= {m.span(1) for m in CONTEXT.finditer(text)}
+    if "bearer" in low:
+        values |= {m.span(1) for m in BEARER.finditer(text)}
+    found += [(3, a, b, a) for a, b in values if guess_bits(text[a:b], words) >= min_bits]
     return sorted(found, key=lambda f: (f[1], f[0], f[2]))
 
 
