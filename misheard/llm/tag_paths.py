@@ -5,8 +5,10 @@ the root to it, with their class and role names. Per path the characters and the
 punctuation marks are summed over all its texts; each of the two ratios (per text
 of the path) is smoothed over the paths in page order, and both are fused to one
 score. Paths that reach a part of the best score, and paths next to them within
-the best one's region, are content; elements and names that mark page furniture
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) are not.
+the best one's region, are content; elements that mark page furniture (menus,
+headers, footers, forms) are not. Classes and ids that name it (sidebars, notices,
+adverts, comments) lower the score of the paths below, and what is named so is left
+out unless it holds the best path.
 
 White space inside a block becomes one space, blocks are joined by a line break.
 Null and empty pages give empty text. Pages are independent: map only; ids may be
@@ -43,6 +45,8 @@ NAMES = re.compile(
     r"""|widget\w*|alert\w*|(?:site|page|top)[-_]?header|top[-_]?bar|masthead|copyright|legal|disclaimer|skip(?:-?link)?|toolbar|search)(?![a-z])""",
     re.I,
 )
+# What a name of furniture leaves of a path's score.
+NAMED_PART = 0.2
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(
@@ -61,13 +65,16 @@ class _Paths:
 
     def __init__(self):
         self.parent, self.name, self.known = [-1], [""], {}
+        self.named: set[int] = set()     # paths whose last element is named like furniture
 
-    def child(self, parent: int, name: str) -> int:
+    def child(self, parent: int, name: str, named: bool = False) -> int:
         found = self.known.get((parent, name))
         if found is None:
             found = self.known[parent, name] = len(self.parent)
             self.parent.append(parent)
             self.name.append(name)
+            if named:
+                self.named.add(found)
         return found
 
     def above(self, path: int):
@@ -90,8 +97,18 @@ class _Element:
         self.inline = name in INLINE
 
 
-def _marks(name: str, attrs: str, header_is_part: bool) -> tuple[str, bool]:
-    """(name with classes, whether the element is page furniture or unseen)."""
+def _is_named(value: str) -> bool:
+    """Whether a class or id is a name of furniture as a whole, or made of such names."""
+    return any(
+        NAMES.fullmatch(token) or all(NAMES.fullmatch(x) for x in re.split("[-_]+", token.strip("-_")))
+        for token in value.split()
+    )
+
+
+def _marks(name: str, attrs: str, header_is_part: bool) -> tuple[str, bool, bool]:
+    """(name with classes, whether the element is page furniture or unseen, whether
+    it is only named like furniture)."""
+    named = False
     skip = name in FURNITURE or name in HIDDEN or (name == "header" and not header_is_part)
     label = name
     if attrs and not attrs.isspace():
@@ -99,14 +116,14 @@ def _marks(name: str, attrs: str, header_is_part: bool) -> tuple[str, bool]:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 label += "." + ".".join(value.split())
-                skip = skip or (name not in ("body", "html", "article", "main") and bool(NAMES.search(value)))
+                named = named or (name not in ("body", "html", "article", "main") and _is_named(value))
             elif key == "role":
                 skip = skip or value.lower() in ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                 skip = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 skip = True
-    return label, skip
+    return label, skip, named
 
 
 def texts(page: str, paths: _Paths):
@@ -145,8 +162,8 @@ def texts(page: str, paths: _Paths):
             continue
         _close_for(stack, name, end)
         parent = stack[-1]
-        label, skip = _marks(name, m["attrs"] or "", parent.article)
-        path = parent.path if name in INLINE and not skip else paths.child(parent.path, label)
+        label, skip, named = _marks(name, m["attrs"] or "", parent.article)
+        path = parent.path if name in INLINE and not (skip or named) else paths.child(parent.path, label, named)
         stack.append(_Element(name, path, parent.skip or skip, parent.article or name in ("article", "main")))
         opened[name] += 1
         if name in _RAW:
@@ -204,7 +221,14 @@ def content_paths(found: list[tuple[int, int, str]], paths: _Paths, part: float
         p: sqrt(max(a, sa) * (1 + max(b, sb)) * chars[p])
         for p, a, sa, b, sb in zip(order, text_ratio, _smooth(text_ratio), mark_ratio, _smooth(mark_ratio))
     }
+    # names are a penalty only: furniture is what is named so and does not hold the best path
+    above = [frozenset()]
+    for p in range(1, len(paths.parent)):
+        above.append(above[paths.parent[p]] | {p} if p in paths.named else above[paths.parent[p]])
+    for p in order:
+        score[p] *= NAMED_PART if above[p] else 1
     best = max(order, key=lambda p: (score[p], -p))
+    order = [p for p in order if above[p] <= above[best]]
     region = None
     for kind in ("main", "article"):
         for p in paths.above(best):
