@@ -525,14 +525,11 @@ def bpe_first_pairs(spark, sf):
     return bpe.pair_counts(bpe.symbol_words(bpe.word_counts(I.sentences(spark, sf), "sentence")))
 
 
-BPE_TEST_VOCAB = 160
-
-
 def _bpe(spark, sf):
     both = corpus.corpora(
         I.sentences(spark, sf).select("sentence"), I.noisy_pairs(spark, sf).select(F.col("hyp").alias("sentence"))
     )
-    return bpe.train_bpe(both, "sentence", BPE_TEST_VOCAB)
+    return bpe.train_bpe(both, "sentence", K.VOCAB_SIZE)
 
 
 @query

@@ -1,0 +1,23 @@
+"""The registered queries train the whole vocabulary."""
+
+from checks import queries
+from misheard import constants as K
+
+
+def test_queries_train_the_size_of_the_operator(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(queries.bpe, "train_bpe", lambda df, text, vocab_size=K.VOCAB_SIZE, **_: sizes.append(vocab_size))
+    for name in ("sentences", "noisy_pairs"):
+        monkeypatch.setattr(queries.I, name, lambda *_: FakeRows())
+    monkeypatch.setattr(queries.corpus, "corpora", lambda *_: None)
+    monkeypatch.setattr(queries.F, "col", lambda *_: FakeRows())
+    queries._bpe(None, None)
+    assert sizes == [K.VOCAB_SIZE]
+
+
+class FakeRows:
+    def select(self, *_):
+        return self
+
+    def alias(self, _):
+        return self
