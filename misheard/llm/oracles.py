@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this folder that SQL can express."""
 
+from misheard.llm import licenses
+
 ORACLES: dict = {}
 
 ORACLES["op1_mix_sources"] = r"""
@@ -57,3 +59,57 @@ select page_id, n as payload_bytes, digest as payload_digest,
        case when n >= 100 and page_id > first then first end as refers_to
 from f
 """
+
+
+def _rule_rows() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ",\n  ".join(
+        f"({r['rule']}, {quoted(r['label'])}, {r['priority']}, {r['trust']}::double, {quoted(r['re'])}, "
+        f"[{', '.join(quoted(' ' + k + ' ') for k in r['keys'])}], {str(r['base']).lower()})"
+        for r in licenses.RULES
+    )
+
+
+# All rules against all texts that hold their words; a match is dropped if any better
+# one contains it, by the definition.
+ORACLES["op12_license_scan"] = r"""
+with rules(rule, label, priority, trust, re, keys, base) as (values
+  """ + _rule_rows() + r"""
+), w as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents
+), d as materialized (
+  select rid, doc_id, len(words)::bigint as n_words, ' ' || array_to_string(words, '  ') || ' ' as norm from w
+), m as materialized (
+  select rid, rule, label, priority, trust, base,
+         regexp_extract_all(norm, re) as found, string_split_regex(norm, re) as gaps
+  from d join rules on len(list_filter(keys, k -> not contains(norm, k))) = 0
+  where regexp_matches(norm, re)
+), p as (
+  select *, unnest(generate_series(1, len(found))) as k from m
+), i as (
+  select rid, rule, label, priority, trust, base,
+         (list_sum(list_transform(gaps[1:k], g -> len(g) - len(replace(g, ' ', ''))))
+          + coalesce(list_sum(list_transform(found[1:k-1], g -> len(g) - len(replace(g, ' ', '')))), 0)) // 2 as lo,
+         (len(found[k]) - len(replace(found[k], ' ', ''))) // 2 as n
+  from p
+), h as materialized (
+  select *, lo + n as hi from i
+), kept as (
+  select * from h where base or not exists (
+    select 1 from h e where e.rid = h.rid and e.lo <= h.lo and e.hi >= h.hi
+      and (e.priority < h.priority
+           or e.priority = h.priority and (e.lo < h.lo or e.hi > h.hi or e.rule < h.rule)))
+), g as (
+  select rid, count(*) filter (base) as n_base, min(lo) filter (base) as first_word, max(lo) filter (base) as last_word,
+         string_agg(distinct label, ',' order by label) filter (base) as base_labels,
+         string_agg(distinct label, ',' order by label) as labels, max(trust) as score
+  from kept group by rid
+)
+select doc_id, n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+       last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       coalesce(score, 0)::double as score
+from d left join g using (rid)
+"""

@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from misheard.llm import guess_cost, mixing, multiset, perplexity, projections, repeats, simhash, tag_paths, trie_bpe, warc
+from misheard.llm import (
+    guess_cost, licenses, mixing, multiset, perplexity, projections, repeats, simhash, tag_paths, trie_bpe, warc,
+)
 from misheard.llm.common import shared_path, table
 
 QUERIES: dict = {}
@@ -89,3 +91,9 @@ def op5_perplexity_filter(spark: SparkSession, sf: str) -> DataFrame:
 def op9_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of every document without repeated strings of 400 bytes."""
     return repeats.remove_repeats(table(spark, sf, "documents"))
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Base places, labels and score of every document."""
+    return licenses.digests(table(spark, sf, "documents"))
