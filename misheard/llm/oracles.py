@@ -85,14 +85,14 @@ with rules(rule, label, priority, trust, re, keys, base) as (values
 ), m as materialized (
   select rid, rule, label, priority, trust, base,
          regexp_extract_all(norm, re) as found, string_split_regex(norm, re) as gaps
-  from d join rules on len(list_filter(keys, k -> not contains(norm, k))) = 0
+  from d join rules on len([k for k in keys if not contains(norm, k)]) = 0
   where regexp_matches(norm, re)
 ), p as (
   select *, unnest(generate_series(1, len(found))) as k from m
 ), i as (
   select rid, rule, label, priority, trust, base,
-         (list_sum(list_transform(gaps[1:k], g -> len(g) - len(replace(g, ' ', ''))))
-          + coalesce(list_sum(list_transform(found[1:k-1], g -> len(g) - len(replace(g, ' ', '')))), 0)) // 2 as lo,
+         (list_sum([len(g) - len(replace(g, ' ', '')) for g in gaps[1:k]])
+          + coalesce(list_sum([len(g) - len(replace(g, ' ', '')) for g in found[1:k-1]]), 0)) // 2 as lo,
          (len(found[k]) - len(replace(found[k], ' ', ''))) // 2 as n
   from p
 ), h as materialized (
