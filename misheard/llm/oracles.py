@@ -113,3 +113,56 @@ select doc_id, n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigin
        coalesce(score, 0)::double as score
 from d left join g using (rid)
 """
+
+
+# The checksum byte by byte; near words by the words they leave with one letter deleted.
+ORACLES["op11_spelling_variants"] = """
+with recursive runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents
+), lows as (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, count(*) as c
+  from runs where length(run) >= 5 group by all
+), numbered as materialized (
+  select row_number() over () as r, low, c, hex(id || ':' || low) as hx from lows
+), bits(i, v, k) as (
+  select i::bigint, i::bigint, 0 from range(256) t(i)
+  union all
+  select i, case when v & 1 = 1 then xor(3988292384::bigint, v >> 1) else v >> 1 end, k + 1 from bits where k < 8
+), crc(r, hx, k, v) as (
+  select r, hx, 0, 4294967295::bigint from numbered
+  union all
+  select c.r, c.hx, c.k + 1, xor(b.v, c.v >> 8)
+  from crc c join bits b on b.k = 8 and b.i = xor(c.v, ('0x' || substr(c.hx, 2 * c.k + 1, 2))::bigint) & 255
+  where c.k < length(c.hx) // 2
+), marked as (
+  select low, c, xor(v, 4294967295::bigint) as h from crc join numbered using (r) where k = length(crc.hx) // 2
+), words as materialized (
+  select case when h % 97 = 0 then substr(low, 1, (h % length(low))::int) || substr(low, (h % length(low))::int + 2)
+              else low end as word, sum(c)::bigint as n
+  from marked group by 1 having length(word) >= 5 and sum(c) >= 3
+), cut as materialized (
+  select word, k, substr(word, 1, k - 1) || substr(word, k + 1) as rest
+  from (select word, unnest(generate_series(1, length(word)))::int as k from words)
+), near as materialized (
+  select distinct word, other from (
+    select a.word, b.word as other from cut a join cut b on a.k = b.k and a.rest = b.rest and a.word <> b.word
+    union all select word, rest from cut where rest in (select word from words)
+    union all select rest, word from cut where rest in (select word from words)
+  )
+), ranked as (
+  select near.word, other, words.n as other_n, count(*) over (partition by near.word) as n_near,
+         row_number() over (partition by near.word order by words.n desc, other) as place
+  from near join words on words.word = near.other
+), forms as materialized (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near,
+         case when other_n >= 2 * w.n then other end as form, case when other_n >= 2 * w.n then other_n end as form_n
+  from words w left join ranked r on r.word = w.word and r.place = 1
+), walk(word, at) as (
+  select word, word from forms
+  union all
+  select walk.word, forms.form from walk join forms on forms.word = walk.at where forms.form is not null
+), last as (
+  select walk.word, walk.at as root from walk join forms on forms.word = walk.at where forms.form is null
+)
+select word, form, root, n, n_near, form_n from forms join last using (word)
+"""

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from misheard.llm import (
-    guess_cost, licenses, mixing, multiset, perplexity, projections, repeats, simhash, tag_paths, trie_bpe, warc,
+    guess_cost, licenses, mixing, multiset, perplexity, projections, repeats, simhash, spelling, tag_paths, trie_bpe,
+    warc, whitening,
 )
 from misheard.llm.common import shared_path, table
 
@@ -97,3 +98,15 @@ def op9_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
 def op12_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Base places, labels and score of every document."""
     return licenses.digests(table(spark, sf, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the corpus with its near words counted, its form and its root."""
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query
+def op13_feast_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
