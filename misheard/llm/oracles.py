@@ -157,12 +157,12 @@ with recursive runs as (
   select w.word, w.n, coalesce(n_near, 0)::bigint as n_near,
          case when other_n >= 2 * w.n then other end as form, case when other_n >= 2 * w.n then other_n end as form_n
   from words w left join ranked r on r.word = w.word and r.place = 1
-), walk(word, at) as (
+), walk(word, here) as (
   select word, word from forms
   union all
-  select walk.word, forms.form from walk join forms on forms.word = walk.at where forms.form is not null
+  select walk.word, forms.form from walk join forms on forms.word = walk.here where forms.form is not null
 ), last as (
-  select walk.word, walk.at as root from walk join forms on forms.word = walk.at where forms.form is null
+  select walk.word, walk.here as root from walk join forms on forms.word = walk.here where forms.form is null
 )
 select word, form, root, n, n_near, form_n from forms join last using (word)
 """

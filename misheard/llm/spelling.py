@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from misheard.llm.common import attach, cut
@@ -41,6 +42,8 @@ LEVELS = (5, 14, 9, 1, 3, 4, 15, 2, 12, 13, 0, 7, 8, 6, 11, 10)    # groups from
 TOP_LEVELS = 4
 SUBTREE_WORDS, ASKERS = 20_000, 100_000
 _VERIFY_BYTES = 1 << 24
+# A subtree's key is the sum of its counts times these, so a step changes it by one of them.
+_ODD = np.random.default_rng(42).integers(0, 2**63, GROUPS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def corpus_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,66 +65,85 @@ def corpus_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def vector(word: bytes) -> np.ndarray:
-    """Letters of a word (one byte each) counted by group, in the order of the levels."""
-    return np.bincount(np.frombuffer(word, np.uint8) % GROUPS, minlength=GROUPS)[list(LEVELS)]
-
-
-def vectors(words: list[bytes]) -> np.ndarray:
-    return np.array([vector(w) for w in words], np.int64).reshape(-1, GROUPS)
-
-
-def top_paths(counts: np.ndarray) -> list[tuple[int, tuple]]:
-    """(spent, path) of the subtrees a search from these upper levels reaches: nothing
-    spent, the surplus, or the surplus and, further down, the deficit."""
-    out, n = [(0, tuple(counts))], len(counts)
-    for i in range(n):
-        more = counts.copy()
-        more[i] += 1
-        out.append((1, tuple(more)))
-        for j in range(i + 1, n):
-            if more[j]:
-                less = more.copy()
-                less[j] -= 1
-                out.append((2, tuple(less)))
-    return out
-
-
-def _path(counts: tuple) -> str:
-    return ".".join(map(str, counts))
-
-
-def _bytes(words: pa.Array) -> list[bytes]:
-    return [w.encode("latin-1") for w in words.to_pylist()]
+class Words:
+    """Words of a batch as their letters, one byte each, end to end."""
+
+    def __init__(self, column: pa.Array) -> None:
+        column = column.cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        # letters from 0xC0 on are two bytes, of which the first one is 0xC3
+        lead = raw == 0xC3
+        self.letters = raw.copy()
+        self.letters[1:][lead[:-1]] += 0x40
+        self.letters = self.letters[~lead]
+        self.ends = (ends - ends[0]) - np.concatenate([[0], np.cumsum(lead)])[ends - ends[0]]
+        self.size = np.diff(self.ends)
+
+    def vectors(self) -> np.ndarray:
+        """Letters counted by group, in the order of the levels."""
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        counts = np.bincount(row * GROUPS + self.letters % GROUPS, minlength=len(self.size) * GROUPS)
+        return counts.reshape(-1, GROUPS)[:, list(LEVELS)]
+
+    def matrix(self, at: np.ndarray) -> np.ndarray:
+        """The letters of words of one length, a row each."""
+        return self.letters[self.ends[at][:, None] + np.arange(self.size[at[0]])]
+
+
+def reached(tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the subtrees a search from these upper levels reaches: the row's own,
+    one with a surplus, or one with a surplus and, further down, a deficit."""
+    odd = _ODD[: tops.shape[1]]
+    own = tops.astype(np.uint64) @ odd
+    every = np.arange(len(tops))
+    rows, keys = [every], [own]
+    for i in range(len(odd)):
+        rows.append(every)
+        keys.append(own + odd[i])
+        for j in range(i + 1, len(odd)):
+            some = np.flatnonzero(tops[:, j])
+            rows.append(some)
+            keys.append(own[some] + odd[i] - odd[j])
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def _placed(words: DataFrame, depth: int, search: bool) -> DataFrame:
-    """(path, spent, word, n): each word in its subtree, or where its search leads."""
+    """(path, word, n): each word in its subtree, or in all where its search leads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tops = vectors(_bytes(batch.column(0)))[:, :depth]
-            at, spent, paths = [], [], []
-            for k, top in enumerate(tops):
-                for s, path in top_paths(top) if search else [(0, tuple(top))]:
-                    at.append(k)
-                    spent.append(s)
-                    paths.append(_path(path))
-            rows = batch.take(pa.array(at, pa.int64()))
-            made = [pa.array(paths, pa.string()), pa.array(spent, pa.int32()), *rows.columns]
-            yield pa.RecordBatch.from_arrays(made, names=["path", "spent", "word", "n"])
+            tops = Words(batch.column(0)).vectors()[:, :depth]
+            if search:
+                at, keys = reached(tops)
+                batch = batch.take(pa.array(at))
+            else:
+                keys = tops.astype(np.uint64) @ _ODD[:depth]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns], names=["path", "word", "n"])
 
-    return words.select("word", "n").mapInArrow(run, "path string, spent int, word string, n long")
+    return words.select("word", "n").mapInArrow(run, "path long, word string, n long")
 
 
-def _search(found: np.ndarray, asked: np.ndarray, spent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _affordable(extra: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Whether the budget left pays for the rest of a vector, level by level."""
+    if not extra.shape[1]:
+        return np.ones(len(extra), bool)
+    ups, downs = extra == 1, extra == -1
+    up, down = ups.sum(axis=1), downs.sum(axis=1)
+    after = ups.argmax(axis=1) < downs.argmax(axis=1)
+    paid = (up <= (state == 0)) & (down <= np.where(state == 0, up, state == 1))
+    return paid & ((up + down < 2) | after) & (np.abs(extra) <= 1).all(axis=1)
+
+
+def _search(found: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (asker, word) that meet in a leaf. `found` are the vectors of the
-    trie's words below the key, in sorted order, so a node is a range of them."""
-    askers, words = [], []
-    levels = found.shape[1]
+    trie's words in sorted order, so a node is a range of them. The state of a search is
+    0 at first, 1 after the surplus, 2 after the deficit."""
+    askers, words = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
     def visit(lo: int, hi: int, level: int, who: np.ndarray, state: np.ndarray) -> None:
-        if level == levels:
+        if (found[lo] == found[hi - 1]).all():           # a single leaf below
+            who = who[_affordable(found[lo, level:] - asked[who, level:], state)]
             askers.append(np.repeat(who, hi - lo))
             words.append(np.tile(np.arange(lo, hi), len(who)))
             return
@@ -134,9 +156,7 @@ def _search(found: np.ndarray, asked: np.ndarray, spent: np.ndarray) -> tuple[np
                 visit(lo + a, lo + b, level + 1, who[go], state[go] + (extra[go] != 0))
 
     if len(found) and len(asked):
-        visit(0, len(found), 0, np.arange(len(asked)), spent)
-    if not askers:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        visit(0, len(found), 0, np.arange(len(asked)), np.zeros(len(asked), np.int64))
     return np.concatenate(askers), np.concatenate(words)
 
 
@@ -151,39 +171,36 @@ def one_edit(shorter: np.ndarray, longer: np.ndarray) -> np.ndarray:
     return head + tail >= n
 
 
-def _matrix(words: list[bytes], at: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join([words[k] for k in at.tolist()]), np.uint8).reshape(len(at), -1)
-
-
-def _verified(asking: list[bytes], held: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which index pairs are words one letter apart; of equal vectors, each pair once."""
-    size_a, size_b = np.array([len(w) for w in asking])[a], np.array([len(w) for w in held])[b]
+def _verified(asking: Words, held: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which index pairs are words one letter apart."""
+    size_a, size_b = asking.size[a], held.size[b]
     near = np.zeros(len(a), bool)
-    for size, grown in {(int(x), int(y)) for x, y in np.unique(np.stack([size_a, size_b], 1), axis=0)}:
-        rows = np.flatnonzero((size_a == size) & (size_b == grown))
+    kind = 2 * size_a + (size_b - size_a)                # a word found is as long, or one longer
+    for k in np.flatnonzero(np.bincount(kind)).tolist():
+        size, rows = k // 2, np.flatnonzero(kind == k)
         step = max(1, _VERIFY_BYTES // (size + 1))
-        for k in range(0, len(rows), step):
-            part = rows[k : k + step]
-            near[part] = one_edit(_matrix(asking, a[part]), _matrix(held, b[part]))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            near[part] = one_edit(asking.matrix(a[part]), held.matrix(b[part]))
     return near
 
 
-def _meet(key: tuple, left: pa.Table, right: pa.Table, depth: int) -> pa.Table:
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     """Near pairs of the words of one block of a subtree and one block of askers."""
-    held, asking = _bytes(left["word"]), _bytes(right["word"])
-    found, asked = vectors(held)[:, depth:], vectors(asking)[:, depth:]
-    order = np.lexsort(found.T[::-1]) if found.shape[1] else np.arange(len(held))
-    spent = right["spent"].to_numpy().astype(np.int64)
-    a, b = _search(found[order], asked, spent)
+    left, right = left.combine_chunks(), right.combine_chunks()
+    held, asking = (Words(t["word"].combine_chunks()) for t in (left, right))
+    found, asked = held.vectors(), asking.vectors()
+    order = np.lexsort(found.T[::-1])
+    a, b = _search(found[order], asked)
     b = order[b]
-    # of two words with one vector both ask: the first one counts
-    equal = (spent[a] == 0) & (asked[a] == found[b]).all(axis=1)
-    first = np.fromiter((asking[i] < held[j] for i, j in zip(a.tolist(), b.tolist())), bool, len(a))
-    keep = ~equal | first
-    a, b = a[keep], b[keep]
     near = _verified(asking, held, a, b)
-    a, b = pa.array(a[near]), pa.array(b[near])
-    return pa.table({"a": right["word"].take(a), "n_a": right["n"].take(a), "b": left["word"].take(b), "n_b": left["n"].take(b)})
+    a, b = a[near], b[near]
+    out = pa.table({
+        "a": right["word"].take(pa.array(a)), "n_a": right["n"].take(pa.array(a)),
+        "b": left["word"].take(pa.array(b)), "n_b": left["n"].take(pa.array(b)),
+    })
+    # of two words with one vector both ask: the first one counts
+    return out.filter(pc.or_(pa.array((asked[a] != found[b]).any(axis=1)), pc.less(out["a"], out["b"])))
 
 
 def near_pairs(
@@ -209,17 +226,13 @@ def near_pairs(
         met = attach(rows, sizes.select("path", count, "w", "q"), ["path"], count, ["word"])
         block = F.pmod(F.xxhash64("word", F.lit(seed)), F.col(own)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return met.select("path", "spent", "word", "n", block.alias(own), copies.alias(other)).select(
-            "path", F.col("w"), F.col("q"), "spent", "word", "n"
-        )
+        return met.select("path", "word", "n", block.alias(own), copies.alias(other)).select("path", "w", "q", "word", "n")
 
     def named(rows: DataFrame, count: str, own: str, other: str, seed: int) -> DataFrame:
         return dealt(rows, count, own, other, seed).groupBy("path", "w", "q")
 
     held, asks = named(placed, "words", "w", "q", 1), named(search, "askers", "q", "w", 2)
-    return held.cogroup(asks).applyInArrow(
-        lambda key, left, right: _meet(key, left, right, depth), "a string, n_a long, b string, n_b long"
-    )
+    return held.cogroup(asks).applyInArrow(_meet, "a string, n_a long, b string, n_b long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
