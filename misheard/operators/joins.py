@@ -62,7 +62,10 @@ def spread_join(
     # few keys as a rule: counted once, and broadcast only if they are few indeed
     checkpoint_dir(left.sparkSession)
     heavy = heavy.checkpoint()
-    heavy = F.broadcast(heavy) if is_small(heavy) else heavy
+    few = heavy.count()
+    if not few:
+        return left.join(right, on, how)
+    heavy = F.broadcast(heavy) if few <= BROADCAST_ROWS else heavy
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     row = F.xxhash64(*salt_by)
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
