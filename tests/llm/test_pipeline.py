@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from misheard.llm import guess_cost, perplexity, simhash, trie_bpe
+from misheard.llm import guess_cost, perplexity, trie_bpe
 from misheard.llm.queries import QUERIES, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,17 +40,29 @@ def test_quality_stage(spark, stages):
     assert 0.5 * stages[0].count() < len(kept) < stages[0].count()
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def test_near_duplicate_stage(stages):
-    docs = stages[1].collect()
-    fp = np.array([simhash.fingerprint(r.text.encode()) for r in docs], np.uint64)
-    left, kept = sorted(range(len(docs)), key=lambda k: docs[k].doc_id), []
+    docs = sorted(stages[1].collect(), key=lambda r: r.doc_id)
+    sets = [shingles(r.text) for r in docs]
+
+    def near(i, j):
+        both = len(sets[i] & sets[j])
+        return sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and both > 0
+
+    left, kept = set(range(len(docs))), []
     while left:
-        group, new = set(), {left[0]}
-        kept.append(docs[left[0]])
+        first = min(left)
+        group, new = set(), {first}
+        kept.append(docs[first])
         while new:
             group |= new
-            new = {int(j) for i in new for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 2)} - group
-        left = [k for k in left if k not in group]
+            new = {j for j in left - group for i in new if near(i, j)}
+        left -= group
+    assert len(kept) < len(docs)
     assert rows(stages[2]) == collections.Counter(kept)
 
 
