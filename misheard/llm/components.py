@@ -13,7 +13,9 @@ def components(links: DataFrame) -> DataFrame:
     in a fresh random order and moves the links to these representatives; an
     expected constant part of the nodes goes each round, whatever the shape.
     Only minima per node are aggregated, so a node with very many links is no
-    burden. The maps of the rounds are joined together at the end, last first.
+    burden; the joins are sorted ones, whose large keys Spark splits at run time and of
+    which the driver holds nothing. The maps of the rounds are joined together at the end,
+    last first.
     """
     edges = cut(
         links.where(F.col("a") != F.col("b"))
@@ -31,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         edges = cut(
-            edges.join(left, "a").join(right, "b").where("ra != rb")
+            edges.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where("ra != rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
         )
