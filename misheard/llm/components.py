@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from misheard.llm.common import cut
 
+# Links that one task takes of a round; fewer links lie in fewer parts.
+LINKS_PER_PART = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the same node for
@@ -14,27 +17,30 @@ def components(links: DataFrame) -> DataFrame:
     expected constant part of the nodes goes each round, whatever the shape.
     Only minima per node are aggregated, so a node with very many links is no
     burden; the joins are sorted ones, whose large keys Spark splits at run time and of
-    which the driver holds nothing. The maps of the rounds are joined together at the end,
-    last first.
+    which the driver holds nothing. The number of the round is a column, so all rounds run
+    the same generated code, and the links of a round lie in as many parts as their number
+    asks for. The maps of the rounds are joined together at the end, last first.
     """
     edges = cut(
         links.where(F.col("a") != F.col("b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("round"))
         .distinct()
     )
     maps = []
-    while not edges.isEmpty():
-        seed = len(maps)
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("h"), F.col(c).alias("v"))
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("m"))
+    rank = lambda c: F.struct(F.xxhash64(F.col(c), "round").alias("h"), F.col(c).alias("v"))
+    while n := edges.count():
+        edges = edges.coalesce(-(-n // LINKS_PER_PART))
+        turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "round")
+        step = edges.select("a", "b", "round").unionByName(turned).groupBy(F.col("a").alias("node"), "round")
+        step = step.agg(F.min(rank("b")).alias("m"))
         step = cut(step.select("node", F.least(F.col("m"), rank("node"))["v"].alias("root")))
+        step = step.coalesce(-(-2 * n // LINKS_PER_PART))
         maps.append(step)
         left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         edges = cut(
             edges.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where("ra != rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (F.col("round") + 1).alias("round"))
             .distinct()
         )
     if not maps:
@@ -42,5 +48,5 @@ def components(links: DataFrame) -> DataFrame:
     final = maps[-1]
     for step in maps[-2::-1]:
         later = final.select(F.col("node").alias("root"), F.col("root").alias("_final"))
-        final = step.join(later, "root", "left").select("node", F.coalesce("_final", "root").alias("root"))
+        final = step.join(later.hint("merge"), "root", "left").select("node", F.coalesce("_final", "root").alias("root"))
     return final
