@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from checks import inputs as I
 from misheard import constants as K
 from misheard.functions import text as T
-from misheard.functions.draws import pick, row_seed, wide_draw
+from misheard.functions.draws import row_seed, wide_draw
 from misheard.functions.windows import char_ngrams
 from misheard.operators import bpe, chartok, clips as C, confusion, ctc, lm, noise, pairs as P, suggest, wer
 from misheard.plans import corpus, training
@@ -268,7 +268,7 @@ def pending_clips(spark, sf):
 @query
 def chunk_candidates(spark, sf):
     c = confusion.candidates(I.turn_confusions(spark, sf))
-    return c.select("chunk", "total", F.size("slots").alias("n"), F.col("slots")[0][0]["repl"].alias("first"))
+    return c.top.select("chunk", "total", F.col("n").cast("int").alias("n"), "first")
 
 
 def _char_vocab(spark, sf):
@@ -465,10 +465,11 @@ def suggestions(spark, sf):
 
 @query
 def weighted_picks(spark, sf):
-    c = confusion.candidates(I.turn_confusions(spark, sf)).withColumn("rs", row_seed(1, F.col("chunk")))
-    rows = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
-    rows = rows.withColumn("at", F.pmod(wide_draw(F.col("rs"), F.col("k")), F.col("total")))
-    return rows.select("chunk", "k", pick(F.col("at"), F.col("total"), F.col("slots")).alias("repl"))
+    found = confusion.candidates(I.turn_confusions(spark, sf))
+    seeded = found.top.withColumn("rs", row_seed(1, F.col("chunk")))
+    rows = seeded.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    rows = rows.withColumn("_at", F.pmod(wide_draw(F.col("rs"), F.col("k")), F.col("total")))
+    return confusion.drawn(rows, found, ["chunk", "k"]).select("chunk", "k", F.col("_repl").alias("repl"))
 
 
 # --- aggregations and statistics -------------------------------------------

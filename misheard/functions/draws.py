@@ -53,10 +53,10 @@ def slot_of(at: Column, total: Column, slots: Column) -> Column:
     return F.least(F.floor(at.cast("double") * (slots / total)).cast("int"), slots - 1)
 
 
-def pick(at: Column, total: Column, slots: Column) -> Column:
+def pick_entry(at: Column, total: Column, slots: Column) -> Column:
     """Frequency-weighted pick for a count `at` in [0, total). `slots` is
-    array<array<struct<hi,repl>>>: as many slots as candidates, each with the
-    candidates that reach into it, so a pick looks at about two of them however
-    long the list is. Pass a plain column as `at`: it is named in a lambda."""
+    array<array<struct<hi,..>>>: as many slots as entries, each with the entries
+    that reach into it, so a pick looks at about two of them. Pass a plain column
+    as `at`: it is named in a lambda."""
     near = F.get(slots, slot_of(at, total, F.size(slots)))
-    return F.get(F.filter(near, lambda c: c["hi"] > at), F.lit(0))["repl"]
+    return F.get(F.filter(near, lambda c: c["hi"] > at), F.lit(0))

@@ -4,13 +4,17 @@ Only counts travel: partial sums are made before the shuffle, so a chunk that
 makes up a large share of all windows costs one row per task.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from misheard import constants as K
-from misheard.functions.draws import slot_of
-from misheard.operators.joins import require_strings
+from misheard.functions.draws import pick_entry, slot_of
+from misheard.operators.joins import BROADCAST_ROWS, checkpoint_dir, lookup_join, require_strings, spread_join, union_all
 
 _BLOCK = 256    # columns cut out at once, so that long pairs stay linear
+PAGE = 256      # replacements listed in one row at most
+_ENTRIES_PER_ROW = 5    # of a table that is broadcast, on average at most
 
 
 def aligned_windows(
@@ -86,28 +90,110 @@ def merge_tables(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("chunk", "replacement").agg(F.sum("cnt").alias("cnt"))
 
 
-def candidates(table: DataFrame) -> DataFrame:
-    """(chunk, total, slots): replacements in order with running counts, laid
-    out for weighted picks (`draws.pick`)."""
-    of_chunk = Window.partitionBy("chunk")
-    running = of_chunk.orderBy("replacement").rowsBetween(Window.unboundedPreceding, 0)
-    n, total = F.col("n"), F.col("total")
-    spans = table.select(
-        "chunk",
-        F.col("replacement").alias("repl"),
-        "cnt",
-        F.sum("cnt").over(running).alias("hi"),
-        F.sum("cnt").over(of_chunk).alias("total"),
-        F.count(F.lit(1)).over(of_chunk).cast("int").alias("n"),
+class Candidates(NamedTuple):
+    """Replacements laid out for weighted picks. `top` has a row per chunk: chunk, total, n,
+    first, slots. Chunks of more replacements than a page have theirs in `pages`, from
+    below the top to the leaves: chunk, page, lo, total, slots. No row lists more than a page."""
+
+    top: DataFrame
+    pages: list[DataFrame]
+    entries: int
+
+    def broadcast_rows(self, max_rows: int) -> int:
+        """The bound on rows for a broadcast; none where their entries are too many."""
+        return max_rows if self.entries <= _ENTRIES_PER_ROW * max_rows else 0
+
+
+def _slots(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lo, total, slots) of the entries (keys, lo, hi, repl, child): as many slots as
+    entries of the key, each with the entries that reach into it, their ends from `lo`."""
+    of = Window.partitionBy(*keys)
+    based = spans.select(
+        *keys, "repl", "child",
+        F.min("lo").over(of).alias("base"),
+        (F.max("hi").over(of) - F.min("lo").over(of)).alias("total"),
+        F.count(F.lit(1)).over(of).cast("int").alias("n"),
+        (F.col("lo") - F.min("lo").over(of)).alias("start"),
+        (F.col("hi") - F.min("lo").over(of)).alias("hi"),
     )
-    first, last = slot_of(F.col("hi") - F.col("cnt"), total, n), slot_of(F.col("hi") - 1, total, n)
+    first, last = (slot_of(c, F.col("total"), F.col("n")) for c in (F.col("start"), F.col("hi") - 1))
+    near = F.sort_array(F.collect_list(F.struct("hi", "repl", "child")))
     return (
-        spans.select("chunk", "total", "hi", "repl", F.explode(F.sequence(first, last)).alias("slot"))
-        .groupBy("chunk", "slot")
-        .agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("hi", "repl"))).alias("near"))
-        .groupBy("chunk")
+        based.select(*keys, "base", "total", "hi", "repl", "child", F.explode(F.sequence(first, last)).alias("slot"))
+        .groupBy(*keys, "slot")
+        .agg(F.max("base").alias("lo"), F.max("total").alias("total"), near.alias("near"))
+        .groupBy(*keys)
         .agg(
+            F.max("lo").alias("lo"),
             F.max("total").alias("total"),
             F.transform(F.sort_array(F.collect_list(F.struct("slot", "near"))), lambda s: s["near"]).alias("slots"),
         )
     )
+
+
+def _running(table: DataFrame) -> DataFrame:
+    """(chunk, k, lo, hi, repl) with running counts and numbers in order of replacement,
+    for chunks of any length: sums within ranges of rows, then over the ranges."""
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = table.repartitionByRange(parts, "chunk", "replacement").withColumn("part", F.spark_partition_id())
+    ranged = ranged.checkpoint()      # the ranges are kept as they were drawn
+    inside = Window.partitionBy("part", "chunk").orderBy("replacement")
+    before = Window.partitionBy("chunk").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0")
+    sums = ranged.groupBy("part", "chunk").agg(F.sum("cnt").alias("s"), F.count(F.lit(1)).alias("c"))
+    rows = ranged.select(
+        "part", "chunk", F.col("replacement").alias("repl"), "cnt",
+        F.sum("cnt").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"),
+        F.row_number().over(inside).alias("no"),
+    ).join(sums.select("part", "chunk", upto("s"), upto("c")), ["part", "chunk"])
+    hi = F.col("s0") + F.col("sum")
+    return rows.select("chunk", (F.col("c0") + F.col("no") - 1).alias("k"), (hi - F.col("cnt")).alias("lo"), hi.alias("hi"), "repl")
+
+
+def candidates(table: DataFrame, page_rows: int = PAGE) -> Candidates:
+    """Replacements of each chunk in order with running counts. A chunk of more than
+    `page_rows` is a tree of pages, so none is listed in one row or sorted in one task."""
+    checkpoint_dir(table.sparkSession)
+    table = table.select("chunk", "replacement", "cnt").checkpoint()
+    sizes = table.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("replacement").alias("first"))
+    sizes = sizes.checkpoint()
+    most, entries = sizes.agg(F.max("n"), F.sum("n")).first()
+    no_child = F.lit(None).cast("long").alias("child")
+    few, tops, pages = table, [], []
+    if (most or 0) > page_rows:
+        big = sizes.where(F.col("n") > page_rows).select("chunk", "n")
+        few = spread_join(table, big, ["chunk"], "left_anti", ["replacement"], left_rows="n")
+        many = spread_join(table, big, ["chunk"], "left_semi", ["replacement"], left_rows="n")
+        rows = _running(many).withColumn("child", no_child)
+        while most > 1:
+            paged = rows.withColumn("page", F.floor(F.col("k") / F.lit(float(page_rows))))
+            pages.insert(0, _slots(paged, ["chunk", "page"]).checkpoint())
+            most = -(-most // page_rows)
+            rows = pages[0].select(
+                "chunk", F.col("page").alias("k"), "lo", (F.col("lo") + F.col("total")).alias("hi"),
+                F.lit(None).cast("string").alias("repl"), F.col("page").alias("child"),
+            )
+        tops = [pages.pop(0).select("chunk", "total", "slots")]
+    running = Window.partitionBy("chunk").orderBy("replacement").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.sum("cnt").over(running)
+    spans = few.select("chunk", F.col("replacement").alias("repl"), no_child, (hi - F.col("cnt")).alias("lo"), hi.alias("hi"))
+    top = union_all(_slots(spans, ["chunk"]).select("chunk", "total", "slots"), *tops)
+    return Candidates(top.join(sizes, "chunk").checkpoint(), pages, entries or 0)
+
+
+def drawn(
+    joined: DataFrame, found: Candidates, salt_by: list[str], out: str = "_repl", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The replacement for the count `_at` of rows that were joined to `found.top` by chunk;
+    null where the chunk is unknown."""
+    rows = joined.withColumn("_e", pick_entry(F.col("_at"), F.col("total"), F.col("slots")))
+    for pages in found.pages:
+        below = pages.select("chunk", F.col("page").alias("_child"), F.col("lo").alias("_lo"),
+                             F.col("total").alias("_width"), F.col("slots").alias("_near"))
+        rows = rows.drop("total", "slots").withColumn("_child", F.col("_e")["child"])
+        rows = lookup_join(rows, below, ["chunk", "_child"], "left", salt_by, max_rows // PAGE)
+        rows = rows.withColumn("_rel", F.col("_at") - F.col("_lo"))
+        lower = pick_entry(F.col("_rel"), F.col("_width"), F.col("_near"))
+        rows = rows.withColumn("_e", F.when(F.col("_child").isNull(), F.col("_e")).otherwise(lower))
+        rows = rows.drop("_child", "_lo", "_width", "_near", "_rel")
+    return rows.withColumn(out, F.col("_e")["repl"]).drop("_e")

@@ -1,5 +1,6 @@
 """Joins that hold when one key carries a large part of all rows."""
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -91,11 +92,12 @@ def map_elements(
     carry: list[str] = (),
     extra: dict[str, Column] | None = None,
     max_rows: int = BROADCAST_ROWS,
+    then: Callable[[DataFrame], DataFrame] = lambda joined: joined,
 ) -> DataFrame:
     """Look up every element of an array column and put the values back in order.
 
     `table` has one row per `element`; `value` is the column computed after the
-    join, from its columns, `_pos` and the `extra` columns. `how='inner'` drops unknown elements, 'left' keeps them. `keys`
+    join, from its columns, `_pos`, the `extra` columns and those that `then` adds. `how='inner'` drops unknown elements, 'left' keeps them. `keys`
     must be unique per row. When `df` comes partitioned by them (`by_key`), the
     elements are grouped back without a shuffle as long as the table is small.
     `carry` columns ride on the first element.
@@ -110,6 +112,7 @@ def map_elements(
     joined = lookup_join(exploded, known, [element], "left", [*keys, "_pos"], max_rows)
     if extra:
         joined = joined.withColumns(extra)
+    joined = then(joined)
     wanted = F.col("_known") if how == "inner" else F.col("_pos").isNotNull()
     # only the value goes on: wide columns of the table stay out of the grouping
     valued = joined.select(*keys, *carry, F.when(wanted, F.struct(F.col("_pos"), value.alias("_v"))).alias("_item"))

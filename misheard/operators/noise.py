@@ -3,9 +3,9 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from misheard import constants as K
-from misheard.functions.draws import pick, row_seed, wide_draw
+from misheard.functions.draws import row_seed, wide_draw
 from misheard.functions.text import bind, chars
-from misheard.operators.confusion import candidates
+from misheard.operators.confusion import candidates, drawn
 from misheard.operators.joins import BROADCAST_ROWS, by_key, map_elements, require_strings
 
 _CUT, _KEEP = "|", "-"     # marks of single characters: a chunk ends here, or goes on
@@ -74,12 +74,14 @@ def corrupt(
     kept = F.col("chunk") if truncate_to is None else F.substr("chunk", F.lit(1), F.lit(truncate_to))
 
     at = F.pmod(wide_draw(F.col("_rs"), F.col("_pos")), F.col("total"))
-    chosen = pick(F.col("_at"), F.col("total"), F.col("slots"))
+    chosen = F.col("_repl")
     if truncate_to is not None:
         chosen = F.substr(chosen, F.lit(1), F.lit(truncate_to))
     replaced = F.coalesce(chosen, kept)
+    found = candidates(table)
+    max_rows = found.broadcast_rows(max_rows)
     done = map_elements(
-        rows, [*keys, "_rs"], "_chunks", "chunk", candidates(table).persist(), "left", replaced, "_out",
-        [text], {"_at": at}, max_rows,
+        rows, [*keys, "_rs"], "_chunks", "chunk", found.top.select("chunk", "total", "slots"), "left", replaced, "_out",
+        [text], {"_at": at}, max_rows, lambda joined: drawn(joined, found, [*keys, "_pos"], max_rows=max_rows),
     )
     return done.select(*keys, text, F.array_join("_out", "").alias(out))

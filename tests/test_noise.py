@@ -69,6 +69,29 @@ def test_picks_follow_the_counts(spark):
     assert [round(text.count(c) / 10000, 1) for c in "xyz"] == [0.7, 0.2, 0.1]
 
 
+@pytest.mark.parametrize("n, page_rows, levels", [(1_000_000, 256, 3), (500, 4, 5)])
+def test_picks_among_very_many_replacements(spark, n, page_rows, levels):
+    """A chunk of a million replacements beside a short one; one replacement holds most of the count."""
+    cnt = F.when(F.col("id") == n // 3, 10 * n).otherwise(F.col("id") % 5 + 1)
+    long = spark.range(n).select(F.lit("a").alias("chunk"), F.lpad(F.col("id").cast("string"), 7, "0").alias("replacement"), cnt.alias("cnt"))
+    short = spark.createDataFrame([("b", "x", 2), ("b", "y", 3)], "chunk string, replacement string, cnt long")
+    found = confusion.candidates(long.unionByName(short), page_rows)
+    assert len(found.pages) == levels - 1 and found.entries == n + 2
+    for rows in (found.top, *found.pages):
+        widest = F.max(F.greatest(F.size("slots"), F.array_max(F.transform("slots", F.size))))
+        assert rows.agg(widest).first()[0] <= page_rows
+    ids = np.arange(n)
+    hi = np.where(ids == n // 3, 10 * n, ids % 5 + 1).cumsum()
+    at = [*range(20), *(hi[-1] - 1 - np.arange(20)), *np.random.default_rng(1).integers(0, hi[-1], 300), hi[n // 3], hi[n // 3] - 1]
+    asked = [("a", int(x)) for x in at] + [("b", k) for k in range(5)] + [("c", 0)]
+    for max_rows in (J.BROADCAST_ROWS, 0):
+        rows = spark.createDataFrame(asked, "chunk string, _at long").join(found.top, "chunk", "left")
+        got = confusion.drawn(rows, found, ["chunk", "_at"], max_rows=max_rows).select("chunk", "_at", "_repl").collect()
+        want = {("a", int(x)): f"{np.searchsorted(hi, x, 'right'):07d}" for x in at}
+        want |= {("b", k): "x" if k < 2 else "y" for k in range(5)} | {("c", 0): None}
+        assert {(r[0], r[1]): r[2] for r in got} == want
+
+
 def test_spread_join_equals_join(spark):
     left = spark.range(5000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(
