@@ -1,18 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into tags and text. Every text has a path: the open elements from
-the root to it, with their class and role names. Per path the characters and the
-punctuation marks are summed over all its texts; each of the two ratios (per text
-of the path) is smoothed over the paths in page order, and both are fused to one
-score. Paths that reach a part of the best score, and paths next to them within
-the best one's region, are content; elements that mark page furniture (menus,
-headers, footers, forms) are not. Classes and ids that name it (sidebars, notices,
-adverts, comments) lower the score of the paths below, and what is named so is left
-out unless it holds the best path.
+the root to it, with their class and role names. Per path the characters, the
+punctuation marks and the characters of links are summed over all its texts; the
+ratios (per text of the path) are smoothed over the paths in page order and fused
+to one score. What a path is part of scales its score: an article or main element
+raises it; class and id names of furniture (sidebars, notices, adverts, comments),
+a heading that announces reader comments, links, and a place after the end of the
+best path's text lower it. Paths that reach a part of the best score are content on
+every page, and so are headings, lists and short lines that stand in the same
+container as content, unless they are lists of links. Elements that mark page
+furniture (menus, headers, footers, forms) are left out at once, and so is what is
+named so and does not hold the best path.
+
+Elements of equal path cannot be told apart: comments in a container of the very
+path of the text stay.
 
 White space inside a block becomes one space, blocks are joined by a line break.
-Null and empty pages give empty text. Pages are independent: map only; ids may be
-null or repeat; other columns are not read.
+Null and empty pages give empty text, no pages no rows. Pages are independent: map
+only; ids may be null or repeat; other columns, clashing names too, are not read.
 """
 
 import html
@@ -45,8 +51,22 @@ NAMES = re.compile(
     r"""|widget\w*|alert\w*|(?:site|page|top)[-_]?header|top[-_]?bar|masthead|copyright|legal|disclaimer|skip(?:-?link)?|toolbar|search)(?![a-z])""",
     re.I,
 )
-# What a name of furniture leaves of a path's score.
-NAMED_PART = 0.2
+# Elements that shape text inside a container; others that are not inline contain it.
+SHAPES = frozenset(
+    """p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd blockquote pre figure figcaption table caption
+    thead tbody tfoot tr td th address center details summary section""".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Headings of reader comments, as a whole.
+COMMENTS = re.compile(
+    r"\W*(?:\d+\W+)?(?:(?:reader|user|leave an?|post an?|write an?|add an?|all|join the)\s+)*"
+    r"(?:comments?|reply|replies|kommentare?|commentaires?|comentarios?)(?:\W+\d+)?\W*", re.I
+)
+# Factors of a path's score.
+NAMED_PART = 0.2     # named like furniture
+ARTICLE_PART = 4.0   # in an article or main element
+TAIL_PART = 0.3      # in another container, after the end of the best path's text
+PLAIN_PART = 0.5     # without any punctuation
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(
@@ -82,18 +102,22 @@ class _Paths:
             yield path
             path = self.parent[path]
 
-    def under(self, region: int) -> list[bool]:
-        inside = [False] * len(self.parent)
-        for k, parent in enumerate(self.parent):
-            inside[k] = k == region or parent >= 0 and inside[parent]
-        return inside
+    def element(self, path: int) -> str:
+        return self.name[path].split(".")[0]
+
+    def inherited(self, own) -> list[int]:
+        """Of every path the nearest element at or above it that is `own`, else the root."""
+        found = [0]
+        for p in range(1, len(self.parent)):
+            found.append(p if own(p) else found[self.parent[p]])
+        return found
 
 
 class _Element:
-    __slots__ = ("name", "path", "skip", "inline", "article")
+    __slots__ = ("name", "path", "skip", "inline", "article", "link")
 
-    def __init__(self, name: str, path: int, skip: bool, article: bool):
-        self.name, self.path, self.skip, self.article = name, path, skip, article
+    def __init__(self, name: str, path: int, skip: bool, article: bool, link: bool = False):
+        self.name, self.path, self.skip, self.article, self.link = name, path, skip, article, link
         self.inline = name in INLINE
 
 
@@ -127,7 +151,7 @@ def _marks(name: str, attrs: str, header_is_part: bool) -> tuple[str, bool, bool
 
 
 def texts(page: str, paths: _Paths):
-    """(path, block number, whether it is furniture, text) of every text."""
+    """(path, block number, whether it is furniture, whether it is a link's, text) of every text."""
     stack = [_Element("", 0, False, False)]
     opened: Counter = Counter()
     at, block, n = 0, 0, len(page)
@@ -140,12 +164,12 @@ def texts(page: str, paths: _Paths):
         m = _TOKEN.search(page, at)
         top = stack[-1]
         if (m.start() if m else n) > at and top.name not in HIDDEN:
-            yield top.path, block, top.skip, html.unescape(page[at : m.start() if m else n])
+            yield top.path, block, top.skip, top.link, html.unescape(page[at : m.start() if m else n])
         if not m:
             return
         at = m.end()
         if m["cdata"] is not None:
-            yield top.path, block, top.skip, m["cdata"]
+            yield top.path, block, top.skip, top.link, m["cdata"]
         name = (m["name"] or "").lower()
         if not name:
             continue
@@ -156,7 +180,7 @@ def texts(page: str, paths: _Paths):
                 end(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
         if name == "br":
-            yield top.path, block, top.skip, " "
+            yield top.path, block, top.skip, top.link, " "
             continue
         if name in VOID:
             continue
@@ -164,7 +188,8 @@ def texts(page: str, paths: _Paths):
         parent = stack[-1]
         label, skip, named = _marks(name, m["attrs"] or "", parent.article)
         path = parent.path if name in INLINE and not (skip or named) else paths.child(parent.path, label, named)
-        stack.append(_Element(name, path, parent.skip or skip, parent.article or name in ("article", "main")))
+        link = parent.link or name == "a" and "href" in (m["attrs"] or "").lower()
+        stack.append(_Element(name, path, parent.skip or skip, parent.article or name in ("article", "main"), link))
         opened[name] += 1
         if name in _RAW:
             close = _RAW[name].search(page, at)
@@ -194,60 +219,83 @@ def _smooth(values: list[float]) -> list[float]:
     return [(padded[k] + 2 * padded[k + 1] + padded[k + 2]) / 4 for k in range(len(values))]
 
 
-def content_paths(found: list[tuple[int, int, str]], paths: _Paths, part: float = 0.1) -> set[int]:
-    """The paths of content, from (path, block, text) of all texts in order.
-
-    The best path decides the region: the outermost article (else main element)
-    above it, else its parent. All paths in the region are content. Without an
-    article or main element, so are those elsewhere that reach the part of the
-    best score.
-    """
-    chars: dict[int, int] = {}
-    marks: dict[int, int] = {}
+def _scores(found: list[tuple[int, int, bool, str]], paths: _Paths) -> tuple[dict[int, float], dict[int, float]]:
+    """(score, part of links) of every path with text, in page order."""
+    chars: Counter = Counter()
+    marks: Counter = Counter()
+    links: Counter = Counter()
     blocks: dict[int, set] = {}
-    for path, block, text in found:
+    for path, block, link, text in found:
         if text and not text.isspace():
-            chars[path] = chars.get(path, 0) + len(text.strip())
-            marks[path] = marks.get(path, 0) + len(_MARKS.findall(text))
+            size = len(text.strip())
+            chars[path] += size
+            links[path] += size * link
+            marks[path] += len(_MARKS.findall(text))
             blocks.setdefault(path, set()).add(block)
-    if not chars:
-        return set()
     order = list(chars)
     text_ratio = [chars[p] / len(blocks[p]) for p in order]
     mark_ratio = [marks[p] / len(blocks[p]) for p in order]
+    article = paths.inherited(lambda p: paths.element(p) in ("article", "main"))
+    linked = {p: links[p] / chars[p] for p in order}
+    score = {}
     # a path's own ratios count as far as they exceed the smoothed ones; the
     # summed text keeps a path of many short paragraphs
-    score = {
-        p: sqrt(max(a, sa) * (1 + max(b, sb)) * chars[p])
-        for p, a, sa, b, sb in zip(order, text_ratio, _smooth(text_ratio), mark_ratio, _smooth(mark_ratio))
-    }
-    # names are a penalty only: furniture is what is named so and does not hold the best path
+    for p, a, sa, b, sb in zip(order, text_ratio, _smooth(text_ratio), mark_ratio, _smooth(mark_ratio)):
+        fused = sqrt(max(a, sa) * (1 + max(b, sb)) * chars[p])
+        fused *= max(0.05, 1 - linked[p]) * (1 if marks[p] else PLAIN_PART)
+        score[p] = fused * (ARTICLE_PART if article[p] else 1)
+    return score, linked
+
+
+def content_paths(found: list[tuple[int, int, bool, str]], paths: _Paths, part: float = 0.15) -> set[int]:
+    """The paths of content, from (path, block, whether a link's, text) of all texts
+    in order: those that reach the part of the best score, and what shapes text in
+    their containers."""
+    score, linked = _scores(found, paths)
+    if not score:
+        return set()
+    element = [paths.element(p) for p in range(len(paths.parent))]
+    container = paths.inherited(
+        lambda p: element[p] not in SHAPES and element[p] not in INLINE or paths.name[p].startswith("section.")
+    )
+    for path, _, _, text in found:
+        if element[path] in HEADINGS and COMMENTS.fullmatch(text.strip()):
+            paths.named.add(container[path])
+    # furniture is what is named so and does not hold the best path
     above = [frozenset()]
     for p in range(1, len(paths.parent)):
         above.append(above[paths.parent[p]] | {p} if p in paths.named else above[paths.parent[p]])
-    for p in order:
+    for p in score:
         score[p] *= NAMED_PART if above[p] else 1
-    best = max(order, key=lambda p: (score[p], -p))
-    order = [p for p in order if above[p] <= above[best]]
-    region = None
-    for kind in ("main", "article"):
-        for p in paths.above(best):
-            if paths.name[p].split(".")[0] == kind:
-                region = p
-    if region is not None:
-        inside = paths.under(region)
-        return {p for p in order if inside[p]}
-    inside = paths.under(max(0, paths.parent[best]))
-    return {p for p in order if inside[p] or score[p] >= part * score[best]}
+    best = max(score, key=lambda p: (score[p], -p))
+    holds = set(paths.above(best)) | {0}
+    end = max(k for k, (path, _, _, text) in enumerate(found) if path == best and not text.isspace())
+    first: dict[int, int] = {}
+    for k, (path, _, _, text) in enumerate(found):
+        if text and not text.isspace():
+            first.setdefault(container[path], k)
+    article = paths.inherited(lambda p: element[p] == "article")
+    for p in score:
+        if container[p] not in holds and first[container[p]] > end and article[p] in holds:
+            score[p] *= TAIL_PART
+    inner = [p for p in score if above[p] <= above[best]]
+    chosen = {p for p in inner if score[p] >= part * score[best]}
+    within = paths.inherited(lambda p: element[p] in ("article", "main"))
+    homes = {container[p] for p in chosen}
+    homes |= {q for p in chosen for q in paths.above(container[p]) if within[q] and container[q] == q}
+    chosen |= {p for p in inner if container[p] in homes and (linked[p] <= 0.5 or element[p] in HEADINGS)}
+    if not any(element[p] == "h1" for p in chosen):
+        chosen |= {p for p in inner if element[p] == "h1" and container[p] in holds}
+    return chosen
 
 
 def extract(page: str | None) -> str:
     """The main text of a page."""
     paths = _Paths()
-    kept = [(path, block, text) for path, block, skip, text in texts(page or "", paths) if not skip]
+    kept = [(path, block, link, text) for path, block, skip, link, text in texts(page or "", paths) if not skip]
     content = content_paths(kept, paths)
     lines, last = [], None
-    for path, block, text in kept:
+    for path, block, _, text in kept:
         if path in content:
             if block != last:
                 lines.append([])
