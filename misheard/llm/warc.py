@@ -19,6 +19,7 @@ is the smallest id. No pages give no records.
 
 import gzip
 import hashlib
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -87,10 +88,10 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict, memoryview]]:
 
 def http_parts(block) -> tuple[bytes, memoryview]:
     """(HTTP header with its empty line, payload)."""
-    head = bytes(block[: 1 << 16])
-    end = head.find(b"\r\n\r\n")
-    cut_at = end + 4 if end >= 0 and head.startswith(b"HTTP/") else 0
-    return head[:cut_at], memoryview(block)[cut_at:]
+    block = memoryview(block)
+    end = re.search(rb"\r\n\r\n", block) if block[:5] == b"HTTP/" else None
+    cut_at = end.end() if end else 0
+    return bytes(block[:cut_at]), block[cut_at:]
 
 
 def header_value(head: bytes, name: bytes) -> str | None:
