@@ -11,11 +11,14 @@ many paragraphs (by multiplicity) the documents do not share; set against their
 own squared lengths it gives a likeness in 0..1.
 
 Null and empty texts have no paragraphs: fingerprint zero, likeness 1 to each
-other and 0 to others.
+other and 0 to others. Ids may be null, repeat, and be of any type: integers are
+ordered as such, others as strings by code point. Empty tables give no rows; other
+columns, clashing names too, are not read.
 """
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -96,6 +99,25 @@ _RANGE_ROWS = 1_000
 _MAX_RANGES = 20_000
 
 
+def id_key(docs: DataFrame, id_col: str) -> Column:
+    """What ids are ordered by: integers as such, others as strings by code point."""
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.col(id_col).cast("long" if whole else "string")
+
+
+def range_ends(ids: DataFrame, wanted: int) -> list:
+    """At most `wanted` ids that part the rows into ranges of about equal size."""
+    if wanted == 1:
+        return []
+    if ids.schema["id"].dataType.simpleString() != "string":
+        found = ids.approxQuantile("id", [k / wanted for k in range(1, wanted)], 0.1 / wanted)
+        return sorted({int(e) for e in found})
+    # strings have no quantiles: the least id of each part of a sampled range sort
+    parts = cut(ids.where("id is not null").repartitionByRange(wanted, "id"))
+    least = parts.groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("id"))
+    return sorted({r.id for r in least.collect()})
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """The rows dealt to ranges of falling ids (`_range`), each range with the
     first row of the next one as an extra row (`_extra`), cyclically.
@@ -103,22 +125,22 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
     The range ends are quantiles of the ids, a bounded list; which row is first
     in a range is the largest id of a group. Texts are shuffled once.
     """
-    ids = cut(docs.select(F.col(id_col).cast("long").alias("id")))
+    key = id_key(docs, id_col)
+    ids = cut(docs.select(key.alias("id")))
     rows = ids.count()
     wanted = max(1, min(_MAX_RANGES, -(-rows // _RANGE_ROWS)))
-    parts = [k / wanted for k in range(1, wanted)]
-    ends = sorted(set(ids.approxQuantile("id", parts, 0.1 / wanted))) if parts else []
-    ends = [int(e) for e in ends]
+    ends = range_ends(ids, wanted)
+    least = "" if ids.schema["id"].dataType.simpleString() == "string" else 0
 
     @F.pandas_udf("int")
     def above(c: pd.Series) -> pd.Series:
-        return pd.Series(len(ends) - np.searchsorted(ends, c.to_numpy()), dtype="int32")
+        return c.map(lambda x: len(ends) - bisect_left(ends, x)).astype("int32")
 
     def of(c: Column) -> Column:
         """0 for the largest ids; null ids come after all others."""
         if not ends:
             return F.when(c.isNull(), F.lit(1)).otherwise(F.lit(0))
-        return F.when(c.isNull(), F.lit(len(ends) + 1)).otherwise(above(F.coalesce(c, F.lit(0))))
+        return F.when(c.isNull(), F.lit(len(ends) + 1)).otherwise(above(F.coalesce(c, F.lit(least))))
 
     # first id of each range that has rows, and the range before it, cyclically
     firsts = ids.groupBy(of(F.col("id")).alias("_own")).agg(F.max("id").alias("_first"))
@@ -127,10 +149,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
     firsts = cut(firsts.select(
         "_own", "_first", F.coalesce(F.lag("_own").over(ring), F.last("_own").over(whole)).alias("_before")
     ))
-    own = docs.select(id_col, text_col, of(F.col(id_col).cast("long")).alias("_own"))
+    own = docs.select(id_col, text_col, of(key).alias("_own"))
     # at most one row per range: the list of range ends bounds the broadcast
     own = own.join(F.broadcast(firsts), "_own")
-    first = F.col(id_col).cast("long").eqNullSafe(F.col("_first"))
+    first = key.eqNullSafe(F.col("_first"))
     dealt = own.select(
         id_col, text_col,
         F.explode(F.when(first, F.array(
@@ -178,7 +200,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [c.split()[0] for c in schema.split(", ")]
     dealt, ranges = with_next(docs, id_col, text_col)
     parts = dealt.repartition(ranges, "_range").sortWithinPartitions(
-        "_range", "_extra", F.col(id_col).desc_nulls_last(), text_col
+        "_range", "_extra", id_key(docs, id_col).desc_nulls_last(), text_col
     )
     from pyspark.sql.pandas.types import to_arrow_type
 
