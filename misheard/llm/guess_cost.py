@@ -7,23 +7,29 @@ the bits each part takes to guess. The cut is found by dynamic programming from
 left to right; brute-force spans cost the same for every character, so they need
 no segments of their own and long values stay linear. Values at or over
 `min_bits` after a word such as "password" or "bearer", also as the end of a name
-such as DB_PASSWORD, are spans of kind guess.
+such as DB_PASSWORD, are spans of kind guess. Values that name a secret instead of
+holding it (variables, calls, addresses without a password, paths) are none.
+Repeats are seen for blocks of up to 8 characters; longer blocks count as their parts.
+
+The ranked list is learned from the corpus (`learn_words`), after a few words that
+are tried first when passwords are guessed. A word is learned if it follows several
+different words, so that a secret in many copies of one text is not.
 
 Spans are (kind, start, end) in code points of the whole text, end exclusive.
-Null and empty texts have none. Documents are independent: map only; ids may be
-null or repeat; other columns are passed on by `redact` only.
+Null and empty texts have none, empty tables give no rows and teach no words.
+Documents are independent: map only, but for the counts of words; ids may be null or
+repeat; other columns, clashing names too, are passed on by `redact` only.
 """
 
 import hashlib
 import re
-from functools import lru_cache
 from math import log2
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from misheard.llm.common import free_name
+from misheard.llm.common import cut, free_name
 
 # The patterns of the plain kinds.
 ASSIGN = re.compile(
@@ -75,14 +81,112 @@ _CLASSES = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[
             (re.compile("[^a-zA-Z0-9]"), 33))
 
 
-@lru_cache(maxsize=4)
-def _ranks(words: tuple) -> tuple[dict[str, int], int]:
-    return {w: n + 1 for n, w in reversed(list(enumerate(words)))}, max(map(len, words), default=0)
+# First parts of names that hold settings in programs.
+HOLDERS = "self this cls os process env environ config conf settings options args request req ctx secrets vault app".split()
+# What names a secret: a variable, a setting, a call or an index, an address
+# without a password in it, a path of plain names.
+REFERENCE = re.compile(
+    r"\$\{?\w.*|\{\{.*|%\w+%|\$\(.*"
+    r"|(?:" + "|".join(HOLDERS) + r")(?:\.[A-Za-z_]\w*)+\W*"
+    r"|[A-Za-z_]+(?:(?:\.|::|->)[A-Za-z_]+)*(?:\[|\(|\[.*\][,;.)]*|\(.*\)[,;.)]*)"
+    r"|[a-z][a-z0-9+]*://[^@?#]*"
+    r"|(?:~|\.{1,2})?(?:/(?:[a-z]+(?:[._-][a-z]+)*[0-9]{0,3}|[0-9]{1,4}))+/?[.)]*",
+    re.S,
+)
+_VALUE = re.compile(r"""[^\s"'<>,;]+""")
+
+# Learned words: of 3 to 32 letters, at most MAX_WORDS by falling count, seen after
+# words of at least CONTEXTS kinds.
+MAX_WORDS = 50_000
+CONTEXTS = 4
+_TOKEN = re.compile(r"\S+")
+_KEPT_WORDS = 200_000
+
+
+class Ranks:
+    """Words by rank from 1."""
+
+    def __init__(self, words: tuple = ()):
+        every = dict.fromkeys((*COMMON_WORDS, *words))
+        self.of = {w: n + 1 for n, w in enumerate(every)}
+        self.longest = max(map(len, self.of))
+
+
+COMMON = Ranks()
+
+
+def _word(token: str) -> str:
+    """The word in a token of running text, else an empty string."""
+    word = token.strip("()[]\"'“”«».,;:!?¿¡")
+    return word.lower() if 3 <= len(word) <= 32 and word.isalpha() and word[1:].islower() else ""
 
 
-def segments(value: str, words: tuple, per_char: float):
+def learn_words(
+    docs: DataFrame, text_col: str = "text", most: int = MAX_WORDS, contexts: int = CONTEXTS
+) -> tuple[str, ...]:
+    """The words of all texts by falling count, then code point.
+
+    Tasks send summed counts. At most `most` words are read by the driver: those
+    above the lowest step of the counts, an eighth of a doubling, that keeps this.
+    """
+
+    def run(batches):
+        counts: dict[str, list[int]] = {}
+        known: dict[str, str] = {}
+
+        def rows():
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(counts, pa.string()), pa.array([n for n, _ in counts.values()], pa.int64()),
+                 pa.array([m - (1 << 64) if m >> 63 else m for _, m in counts.values()], pa.int64())],
+                names=["word", "n", "after"],
+            )
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                before = "."
+                for m in _TOKEN.finditer(text.as_py() or ""):
+                    token = m[0]
+                    word = known.get(token)
+                    if word is None:
+                        if len(known) >= _KEPT_WORDS:
+                            known.clear()
+                        word = known[token] = _word(token)
+                    if word:
+                        bit = 1 << (31 * ord(before[0]) + 7 * ord(before[-1]) + len(before) & 63)
+                        seen = counts.get(word)
+                        if seen is None:
+                            counts[word] = [1, bit]
+                        else:
+                            seen[0] += 1
+                            seen[1] |= bit
+                    before = token
+            if len(counts) >= _KEPT_WORDS:
+                yield rows()
+        if counts:
+            yield rows()
+
+    counted = docs.select(text_col).mapInArrow(run, "word string, n long, after long")
+    counted = counted.groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("after").alias("after"))
+    counted = cut(counted.where(F.bit_count("after") >= contexts).select("word", "n"))
+    step = F.floor(8 * F.log2("n")).cast("int")
+    room, least = most, None
+    for row in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["step"]
+    if least is None:
+        return ()
+    found = counted.where(step >= least).collect()
+    return tuple(r.word for r in sorted(found, key=lambda r: (-r.n, r.word)))
+
+
+def segments(value: str, words: Ranks | tuple, per_char: float):
     """(start, end, bits) of the parts that are cheaper than brute force."""
-    rank, longest = _ranks(words)
+    ranks = words if isinstance(words, Ranks) else Ranks(words)
+    rank, longest = ranks.of, ranks.longest
     low, plain = value.lower(), value.lower().translate(_LEET)
     n = len(value)
     if len(low) == len(plain) == n:
@@ -106,11 +210,11 @@ def segments(value: str, words: tuple, per_char: float):
         yield m.start(), m.end(), block * per_char + log2((m.end() - m.start()) // block)
 
 
-def guess_bits(value: str, words: tuple = COMMON_WORDS) -> float:
+def guess_bits(value: str, ranks: Ranks = COMMON) -> float:
     """The least number of bits that tell the value, over all segmentations."""
     per_char = log2(sum(size for seen, size in _CLASSES if seen.search(value)) or 1)
     ending: dict[int, list[tuple[int, float]]] = {}
-    for start, end, bits in segments(value, words, per_char):
+    for start, end, bits in segments(value, ranks, per_char):
         ending.setdefault(end, []).append((start, bits))
     cost = [0.0]
     for at in range(1, len(value) + 1):
@@ -121,7 +225,7 @@ def guess_bits(value: str, words: tuple = COMMON_WORDS) -> float:
     return cost[-1]
 
 
-def scan(text: str | None, words: tuple = COMMON_WORDS, min_bits: float = MIN_BITS):
+def scan(text: str | None, ranks: Ranks = COMMON, min_bits: float = MIN_BITS):
     """(kind number, start, end, start of the secret itself) of all spans, by
     start, then kind, then end."""
     text = text or ""
@@ -138,7 +242,10 @@ def scan(text: str | None, words: tuple = COMMON_WORDS, min_bits: float = MIN_BI
         values |= {m.span(1) for m in CONTEXT.finditer(text)}
     if "bearer" in low:
         values |= {m.span(1) for m in BEARER.finditer(text)}
-    found += [(3, a, b, a) for a, b in values if guess_bits(text[a:b], words) >= min_bits]
+    found += [
+        (3, a, b, a) for a, b in values
+        if not REFERENCE.fullmatch(text, a, b) and guess_bits(text[a:b], ranks) >= min_bits
+    ]
     return sorted(found, key=lambda f: (f[1], f[0], f[2]))
 
 
@@ -147,14 +254,16 @@ def _joined(found) -> str:
 
 
 def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple = COMMON_WORDS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple = (),
     min_bits: float = MIN_BITS,
 ) -> DataFrame:
-    """(id, spans): array of (kind, start, end) of every document."""
+    """(id, spans): array of (kind, start, end) of every document. `words` are ranked
+    words, as `learn_words` gives them."""
+    ranks = Ranks(words)
 
     def run(batches):
         for batch in batches:
-            found = [scan(t.as_py(), words, min_bits) for t in batch.column(1)]
+            found = [scan(t.as_py(), ranks, min_bits) for t in batch.column(1)]
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for k, s, e, _ in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], names=[id_col, "spans"])
 
@@ -167,12 +276,15 @@ def find_secrets(
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple = ()
+) -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_guess, base_sha256, spans string)."""
+    ranks = Ranks(words)
 
     def run(batches):
         for batch in batches:
-            found = [scan(t.as_py()) for t in batch.column(1)]
+            found = [scan(t.as_py(), ranks) for t in batch.column(1)]
             counts = [pa.array([sum(f[0] == k for f in x) for x in found], pa.int64()) for k in range(4)]
             base = [hashlib.sha256(_joined(f for f in x if f[0] < 3).encode()).hexdigest() for x in found]
             yield pa.RecordBatch.from_arrays(
@@ -187,9 +299,23 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def without_secrets(text: str | None, mark: str) -> str | None:
-    """The text with every secret replaced; the words before a value stay."""
-    found = scan(text)
+def _is_plain(value: str, ranks: Ranks, min_bits: float) -> bool:
+    """Whether an assigned value is a word of running text, and none of those that
+    are tried first as passwords."""
+    value = value.rstrip(".")
+    plain = value.isalpha() and value[1:].islower() and value.lower() in ranks.of and value.lower() not in COMMON.of
+    return plain and guess_bits(value, ranks) < min_bits
+
+
+def without_secrets(text: str | None, mark: str, ranks: Ranks = COMMON, min_bits: float = MIN_BITS) -> str | None:
+    """The text with every secret replaced; the words before a value stay, and so do
+    assigned values that are plain words or name a secret instead of holding it."""
+    found = [
+        f for f in scan(text, ranks, min_bits)
+        if f[0] or not (
+            REFERENCE.fullmatch(_VALUE.match(text, f[3])[0]) or _is_plain(text[f[3] : f[2]], ranks, min_bits)
+        )
+    ]
     if not found:
         return text
     out, at = [], 0
@@ -200,13 +326,16 @@ def without_secrets(text: str | None, mark: str) -> str | None:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+def redact(
+    docs: DataFrame, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]", words: tuple = ()
+) -> DataFrame:
     """`docs` with secrets replaced by `mark`; `length_col`, if given, is set to
     the new length of changed texts."""
+    ranks = Ranks(words)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: without_secrets(t, mark))
+        return texts.map(lambda t: without_secrets(t, mark, ranks))
 
     new = free_name(docs, "_new")
     rows = docs.withColumn(new, clean(text_col))

@@ -49,7 +49,8 @@ def op8_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and spans of every document."""
-    return guess_cost.digests(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
+    return guess_cost.digests(docs, words=guess_cost.learn_words(docs))
 
 
 @query
