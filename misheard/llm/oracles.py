@@ -166,3 +166,56 @@ with recursive runs as (
 )
 select word, form, root, n, n_near, form_n from forms join last using (word)
 """
+
+# All pairs in double precision; components by the smallest vector reached.
+ORACLES["op6_embedding_neighbours"] = """
+with recursive v as (
+  select vec_id, [x::double for x in embedding] as e from embeddings
+), u as materialized (
+  select vec_id, e, sqrt(list_inner_product(e, e)) as norm
+  from v where len([x for x in e if x is null or not isfinite(x)]) = 0 and list_sum([abs(x) for x in e]) > 0
+), links as materialized (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reached(a, b) as (
+  select a, b from links union select r.a, l.b from reached r join links l on l.a = r.b
+), least as (
+  select a, min(b) as b from reached group by a
+), counted as (
+  select a, count(*) as n from links group by a
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(least.b, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(least.b, vec_id)) as kept
+from v left join least on least.a = vec_id left join counted on counted.a = vec_id
+"""
+
+# Every string of 400 bytes is hashed; texts are hex digits, two for a byte.
+ORACLES["op9_repeated_passages"] = """
+with d as materialized (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), starts as (
+  select r, unnest(range(0, len(h) // 2 - 399)) as pos, h from d
+), hashed as materialized (
+  select r, pos, md5_number(substr(h, 2 * pos + 1, 800)) as m from starts
+), often as (
+  select m from hashed group by m having count(*) > 1
+), hits as (
+  select r, pos, lag(pos) over (partition by r order by pos) as before from hashed semi join often using (m)
+), runs as (
+  select r, pos, sum(case when before is null or pos > before + 400 then 1 else 0 end) over (partition by r order by pos) as run
+  from hits
+), spans as materialized (
+  select r, min(pos) as s, max(pos) + 400 as e from runs group by r, run
+), pieces as (
+  select r, coalesce(lag(e) over (partition by r order by s), 0) as s, s as e from spans
+  union all select r, max(e), 1000000000 from spans group by r
+), kept as (
+  select p.r, string_agg(substr(d.h, 2 * p.s + 1, 2 * (p.e - p.s)), '' order by p.s) as h
+  from pieces p join d using (r) group by p.r
+), removed as (
+  select r, sum(e - s)::bigint as n_removed, count(*) as n_spans from spans group by r
+)
+select d.doc_id, (len(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+       coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join removed using (r) left join kept using (r)
+"""
