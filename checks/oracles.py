@@ -1,6 +1,9 @@
 """DuckDB SQL with the same outcome as the query of the same name."""
 
+import re
+
 from checks.inputs import SEED_CONFUSIONS
+from misheard.functions import text
 
 ORACLES: dict = {}
 
@@ -326,6 +329,55 @@ add("render_pairs", f"""WITH {TURNS} SELECT conv_id, turn, array_to_string({mark
 # --- generators ------------------------------------------------------------
 add("clean_corpus", f"WITH {SENT} SELECT * FROM sentences")
 add("sentence_split", f"WITH {DOC_LINES}, {SPLIT} SELECT doc_id, line_no, sent_no, sentence FROM split")
+STRIPPED = r"""regexp_replace({c}, '^["''“‘«(\[]+|["''”’»)\],;:!?]+$', '', 'g')"""
+SCORED = r"""tokens AS (
+  SELECT {stripped} AS w FROM (SELECT unnest(regexp_split_to_array(line, '[ \t\n\r\f]+')) AS token FROM lines)),
+kinds AS (
+  SELECT lower(regexp_replace(w, '\.$', '')) AS type, regexp_matches(w, '[^.]\.$')::BIGINT AS period FROM tokens),
+counts AS (
+  SELECT type, sum(period)::BIGINT AS n_with, sum(1 - period)::BIGINT AS n_without FROM kinds
+  WHERE regexp_matches(type, '^\p{L}[\p{L}.]*$') GROUP BY type),
+chance AS (SELECT sum(n_with)::DOUBLE / sum(n_with + n_without)::DOUBLE AS p FROM counts),
+sized AS (SELECT *, length(replace(type, '.', ''))::DOUBLE AS letters FROM counts, chance WHERE n_with > 0),
+scores AS (
+  SELECT type, n_with, n_without, 2 * (n_with * (ln(0.99::DOUBLE) - ln(p)) + CASE WHEN n_without > 0
+    THEN n_without * (ln(1 - 0.99::DOUBLE) - ln(1 - p)) ELSE 0 END)
+    * exp(-letters) * (length(type) - letters + 1) * pow(letters, -n_without::DOUBLE) AS score FROM sized)
+""".replace("{stripped}", STRIPPED.replace("{c}", "token"))
+add("abbreviation_scores", f"WITH {DOC_LINES}, {SCORED} SELECT type, n_with, n_without, round(score, 6) AS score FROM scores")
+add("learned_sentences", rf"""WITH {DOC_LINES}, {SCORED}, cuts AS (
+  SELECT doc_id, line_no, string_split(regexp_replace(line, '([.!?]+["''”’»)\]]*)([ \t\n\r\f]+)', '\1\2' || chr(1), 'g'), chr(1)) AS ps
+  FROM lines),
+pieces AS (
+  SELECT * FROM (SELECT doc_id, line_no, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS pos FROM cuts)
+  WHERE pos = 0 OR piece <> ''),
+ends AS (SELECT *, {STRIPPED.replace("{c}", "regexp_extract(piece, '([^ \t\n\r\f]+)[ \t\n\r\f]*$', 1)")} AS w FROM pieces),
+typed AS (
+  SELECT *, CASE WHEN regexp_matches(w, '[^.]\.$') THEN lower(regexp_replace(w, '\.$', '')) END AS type,
+    coalesce(regexp_matches(lead(piece) OVER (PARTITION BY doc_id, line_no ORDER BY pos), '^\p{{Ll}}'), false) AS small FROM ends),
+glue AS (
+  SELECT *, coalesce(type IN (SELECT type FROM scores WHERE score >= 0.3), false)
+    OR coalesce(regexp_matches(type, '^\p{{L}}$'), false) OR (regexp_matches(w, '\.\.$') AND small) AS glued FROM typed),
+before AS (
+  SELECT *, coalesce(lag(glued) OVER (PARTITION BY doc_id, line_no ORDER BY pos), false) AS joined FROM glue),
+numbered AS (
+  SELECT *, (sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY pos) - 1)::INTEGER AS sent_no
+  FROM before)
+SELECT doc_id, line_no, sent_no, regexp_replace(string_agg(piece, '' ORDER BY pos), '[ \t\n\r\f]+$', '') AS sentence
+FROM numbered GROUP BY doc_id, line_no, sent_no""")
+
+
+def rule_words(c: str) -> str:
+    """The fixed word rules, as nested replacements."""
+    marked = f"regexp_replace({c}, '[ \t\n\r\f]+', ' ', 'g')"
+    for pattern, put in text.WORD_RULES:
+        quoted = [x.replace("'", "''") for x in (pattern, re.sub(r"\$(\d)", r"\\\1", put))]
+        marked = f"regexp_replace({marked}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return words(marked)
+
+
+add("rule_word_tokens", f"""WITH {DOC_LINES}, {SPLIT} SELECT doc_id, line_no, sent_no, len(w)::INTEGER AS n,
+  array_to_string(w, '|') AS words FROM (SELECT *, {rule_words('sentence')} AS w FROM split)""")
 add("word_tokens_of_sentences", f"""WITH {SENT} SELECT doc_id, line_no, sent_no, len({words('sentence')})::INTEGER AS n,
   array_to_string({words('sentence')}, '|') AS words FROM sentences""")
 add("word_windows", f"WITH {SENT}, {WINDOWS} SELECT * FROM windows")

@@ -7,7 +7,7 @@ from misheard import constants as K
 from misheard.functions import text as T
 from misheard.functions.draws import row_seed, wide_draw
 from misheard.functions.windows import char_ngrams
-from misheard.operators import bpe, chartok, clips as C, confusion, ctc, lm, noise, pairs as P, suggest, wer
+from misheard.operators import bpe, chartok, clips as C, confusion, ctc, lm, noise, pairs as P, sentences as learned, suggest, wer
 from misheard.plans import corpus, training
 from misheard.plans.corpus import SENTENCE_KEY as SK
 from misheard.sources.text import lines_of
@@ -132,6 +132,26 @@ def sentence_split(spark, sf):
     return corpus.sentences_of(lines_of(I.docs(spark, sf)), ["doc_id", "line_no"])
 
 
+@query
+def abbreviation_scores(spark, sf):
+    found = learned.abbreviation_scores(lines_of(I.docs(spark, sf)))
+    return found.select("type", "n_with", "n_without", F.round("score", 6).alias("score"))
+
+
+@query
+def learned_sentences(spark, sf):
+    lines = lines_of(I.docs(spark, sf))
+    return learned.learned_sentences(lines, ["doc_id", "line_no"], learned.abbreviations(lines))
+
+
+@query
+def rule_word_tokens(spark, sf):
+    """Words of the sentences as they stand, by the word rules."""
+    w = T.rule_words(F.col("sentence"))
+    split = corpus.sentences_of(lines_of(I.docs(spark, sf)), ["doc_id", "line_no"])
+    return split.select(*SK, F.size(w).alias("n"), F.array_join(w, "|").alias("words"))
+
+
 @query
 def word_tokens_of_sentences(spark, sf):
     w = T.words(F.col("sentence"))

@@ -37,6 +37,48 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " +"), lambda w: w != "")
 
 
+# The published word rules of the Penn Treebank, in order. Quotes that
+# open, punctuation, brackets, dashes; then, between blanks, quotes that close,
+# endings and contractions.
+WORD_RULES = (
+    (r"([«“‘„]|`+)", " $1 "),
+    (r'^"', " `` "),
+    (r"([ (\[{<])(\"|'')", "$1 `` "),
+    (r"'([a-ce-lo-ru-zA-CE-LO-RU-Z0-9_])([^\p{L}\p{N}_]|$)", "' $1$2"),
+    (r"([^.])(\.)([\])}>\"'»”’ ]*)$", "$1 $2 $3 "),
+    (r"([:,])([^0-9])", " $1 $2"),
+    (r"([:,])$", " $1 "),
+    (r"(\.{2,})", " $1 "),
+    (r"([;@#$%&?!*])", " $1 "),
+    (r"([^'])' ", "$1 ' "),
+    (r"([\]\[(){}<>])", " $1 "),
+    (r"(--)", " $1 "),
+    (r"^(.*)$", " $1 "),
+    (r"([»”’])", " $1 "),
+    (r"('')", " $1 "),
+    (r'"', " '' "),
+    (r"([^' ])('[sSmMdD]|') ", "$1 $2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    (r" +", "  "),
+    (r"(?i)([^\p{L}\p{N}_])(can)(not)([^\p{L}\p{N}_])", "$1 $2 $3 $4"),
+    (r"(?i)([^\p{L}\p{N}_])(gim|lem)(me)([^\p{L}\p{N}_])", "$1 $2 $3 $4"),
+    (r"(?i)([^\p{L}\p{N}_])(gon|wan)(na)([^\p{L}\p{N}_])", "$1 $2 $3 $4"),
+    (r"(?i)([^\p{L}\p{N}_])(got)(ta)([^\p{L}\p{N}_])", "$1 $2 $3 $4"),
+    (r"(?i)([^\p{L}\p{N}_])(d)('ye)([^\p{L}\p{N}_])", "$1 $2 $3 $4"),
+    (r"(?i)([^\p{L}\p{N}_])(more)('n)([^\p{L}\p{N}_])", "$1 $2 $3 $4"),
+    (r"(?i) ('t)(is|was)([^\p{L}\p{N}_])", " $1 $2 $3"),
+)
+
+
+def rule_words(sentence: Column) -> Column:
+    """Words of a sentence by `WORD_RULES`: punctuation, quotes, endings and parts of
+    contractions are words of their own; line breaks and tabs are blanks."""
+    marked = F.regexp_replace(sentence, r"[ \t\n\r\f]+", " ")
+    for pattern, put in WORD_RULES:
+        marked = F.regexp_replace(marked, pattern, put)
+    return words(marked)
+
+
 def chars(text: Column) -> Column:
     """The characters of a string; the empty string has none."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
