@@ -51,6 +51,19 @@ def part_pairs(spark: SparkSession, sf: str, seed: int = 7) -> DataFrame:
     return done.withColumnRenamed("corrupted", "hyp")
 
 
+def part_clips(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, test, predicted): every part is a clip, small ones are the test split;
+    the recogniser hears the corrupted description."""
+    size = table(spark, sf, "part").select("p_partkey", "p_size")
+    path = F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("path")
+    rows = part_pairs(spark, sf).join(size, "p_partkey").select(
+        path, F.col("ref").alias("sentence"), F.col("p_partkey").alias("src_row"), purify(F.col("hyp")).alias("predicted"),
+        (F.col("p_size") <= 25).alias("small"),
+    )
+    train, test = (rows.where(c).select("path", "sentence", "src_row") for c in ("not small", "small"))
+    return train, test, rows.select("path", "predicted")
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """(conv_id, turn, ref, hyp): each turn with the next one, cleaned. Mostly
     unrelated texts of different lengths."""

@@ -484,6 +484,20 @@ add("part_sweeps", f"""WITH RECURSIVE {PARTS}, {SWEEPS}
 add("part_best_alignment", f"WITH RECURSIVE {PARTS}, {SWEEPS}, {BEST} SELECT * FROM best")
 add("part_confusions", f"""WITH RECURSIVE {PARTS}, {SWEEPS}, {BEST}, named AS (SELECT *, p_partkey AS conv_id, 0 AS turn FROM best),
 {wins(1, 3, 'named')} {forward()}""")
+add("part_clip_confusions", f"""WITH RECURSIVE {PARTS}, clip_pairs AS (
+  SELECT p_partkey, {purify('ref')} AS ref, {purify('hyp')} AS hyp FROM part_pairs JOIN part USING (p_partkey) WHERE p_size <= 25),
+{swept("clip_pairs", ["p_partkey"], ((3, 2), (6, 2), (7, 3), (8, 3), (9, 5)))}, {BEST},
+named AS (SELECT *, p_partkey AS conv_id, 0 AS turn FROM best), {wins(1, 3, 'named')} {forward()}""")
+GUARDED = """guarded AS (SELECT *, CASE WHEN ref = '' OR hyp = '' THEN 'empty' WHEN ref = hyp THEN 'equal'
+    WHEN abs(length(ref) - length(hyp)) * 10 >= greatest(length(ref), length(hyp)) * 8 THEN 'too_different'
+    ELSE 'align' END AS status FROM bare)
+  SELECT p_partkey, g.ref, g.hyp, status,
+    CASE status WHEN 'equal' THEN g.ref WHEN 'align' THEN ref_aln END AS ref_aln,
+    CASE status WHEN 'equal' THEN g.hyp WHEN 'align' THEN hyp_aln END AS hyp_aln
+  FROM guarded g LEFT JOIN found USING (p_partkey)"""
+add("bulk_part_alignment", f"""WITH {PARTS}, bare AS (
+  SELECT p_partkey, replace(ref, ' ', '') AS ref, replace(hyp, ' ', '') AS hyp FROM part_pairs),
+{aligned('bare', ['p_partkey'], 10, 'found')}, {GUARDED}""")
 add("banded_part_alignment", f"""WITH {PARTS}, {aligned('part_pairs', ['p_partkey'], 10, 'found')},
 guarded AS (SELECT *, CASE WHEN ref = '' OR hyp = '' THEN 'empty' WHEN ref = hyp THEN 'equal'
     WHEN abs(length(ref) - length(hyp)) * 10 >= greatest(length(ref), length(hyp)) * 8 THEN 'too_different'

@@ -340,6 +340,13 @@ def bulk_alignment(spark, sf):
     return P.align_pairs(I.turns(spark, sf), purifier=lambda c: F.replace(c, F.lit(" "), F.lit("")))
 
 
+@query
+def bulk_part_alignment(spark, sf):
+    """The same on descriptions of parts, which SQL can follow."""
+    found = P.align_pairs(I.part_pairs(spark, sf), purifier=lambda c: F.replace(c, F.lit(" "), F.lit("")))
+    return found.select("p_partkey", "ref", "hyp", "status", "ref_aln", "hyp_aln")
+
+
 @query
 def unbanded_alignment(spark, sf):
     return P.align_windows(I.noisy_pairs(spark, sf)).select(*SK, "ref_aln", "hyp_aln")
@@ -430,6 +437,12 @@ def confusions_of_clips(spark, sf):
     return training.learn_from_clips(*I.clips(spark, sf), I.predictions(spark, sf))
 
 
+@query
+def part_clip_confusions(spark, sf):
+    """Learned from the test split of clips whose sentences are descriptions of parts."""
+    return training.learn_from_clips(*I.part_clips(spark, sf))
+
+
 @query
 def reverse_fit(spark, sf):
     """The whole reverse table of the noisy pairs, summed up by chunk length."""
