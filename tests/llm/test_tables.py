@@ -37,7 +37,7 @@ def groups(n, linked):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_twin(spark, shared, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     got, want = QUERIES[name](spark, SMALL).toPandas(), con.execute(ORACLES[name]).df()
     columns = sorted(got.columns)
