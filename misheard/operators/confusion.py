@@ -150,11 +150,13 @@ def _running(table: DataFrame) -> DataFrame:
     return rows.select("chunk", (F.col("c0") + F.col("no") - 1).alias("k"), (hi - F.col("cnt")).alias("lo"), hi.alias("hi"), "repl")
 
 
-def candidates(table: DataFrame, page_rows: int = PAGE) -> Candidates:
+def candidates(table: DataFrame, page_rows: int = PAGE, held: bool = False) -> Candidates:
     """Replacements of each chunk in order with running counts. A chunk of more than
-    `page_rows` is a tree of pages, so none is listed in one row or sorted in one task."""
+    `page_rows` is a tree of pages, so none is listed in one row or sorted in one task.
+    A table that is `held` is cut from its lineage already."""
     checkpoint_dir(table.sparkSession)
-    table = table.select("chunk", "replacement", "cnt").checkpoint()
+    table = table.select("chunk", "replacement", "cnt")
+    table = table if held else table.checkpoint()
     sizes = table.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("replacement").alias("first"))
     sizes = sizes.checkpoint()
     most, entries = sizes.agg(F.max("n"), F.sum("n")).first()
