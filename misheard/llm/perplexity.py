@@ -18,9 +18,8 @@ share needs no model, so it is the same for documents in and out of the training
 
 Texts that are null or empty have no perplexity, nor have languages without
 trusted text (a null language is one of its own); they are kept. Equal rows get
-equal results. At most `MAX_TRUSTED` labelled documents are trusted (beyond that,
-those with the smallest hash of the id), which bounds the list of ids that is
-broadcast; every other count covers all documents.
+equal results. All documents that are labelled good are trusted; every count covers
+all documents.
 """
 
 import unicodedata
@@ -38,7 +37,6 @@ ORDER = 4
 QUANTILE = 0.99
 SLACK = 2.5
 EVEN_SLACK = 0.9
-MAX_TRUSTED = 1_000_000
 BLOCK_CHARS = 16 << 20
 # Rows of three short columns that are broadcast at most; more are shuffled.
 BROADCAST_GRAMS = 500_000
@@ -286,28 +284,25 @@ def least_shares(scores: DataFrame, quantile: float, even_slack: float) -> DataF
     )
 
 
-def trusted_ids(labels: DataFrame, id_col: str, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    good = labels.where(F.col("quality") == 1).select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    n = good.count()
-    if n <= max_trusted:
-        return good
-    return good.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < F.lit(int(max_trusted / n * (1 << 32))))
+def trusted_ids(labels: DataFrame, id_col: str) -> DataFrame:
+    """The ids of all documents that are labelled good."""
+    return labels.where(F.col("quality") == 1).select(id_col).where(F.col(id_col).isNotNull()).distinct()
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, max_trusted: int = MAX_TRUSTED,
+    order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK,
     even_slack: float = EVEN_SLACK,
 ) -> DataFrame:
     """(id, key, lang, perplexity, limit, kept) of every row; key is `_row_key`,
     lang empty for null."""
-    ids = trusted_ids(labels, id_col, max_trusted).withColumn("_good", F.lit(True))
+    ids = cut(trusted_ids(labels, id_col).withColumn("_good", F.lit(True)))
     rows = docs.select(
         id_col, _row_key(id_col, text_col, lang_col).alias("key"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"),
     )
-    # the number of ids is bounded by `max_trusted`
-    rows = rows.join(F.broadcast(ids), id_col, "left").select(
+    # broadcast where the ids are few, else shuffled; an id that most rows repeat is spread
+    rows = lookup_join(rows, ids, [id_col], "left", ["key"]).select(
         "key", "lang", F.coalesce("_good", F.lit(False)).alias("trusted"), "text", F.col(id_col).alias("id")
     )
     grams = cut(gram_counts(rows.select("lang", "text", "trusted"), order))
