@@ -14,9 +14,10 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word
-    shingles at a Jaccard similarity of 0.8 or more."""
-    return near_copies.keep_first(docs)
+    """The document with the smallest id of each group of near copies: fingerprints
+    within two bits, as in operator 8, or five-word shingles at a Jaccard similarity
+    of 0.8 or more."""
+    return near_copies.keep_first(docs, fingerprints=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

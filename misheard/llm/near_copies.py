@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from misheard.llm.common import attach, cut, free_name, map_arrow
 from misheard.llm.components import components
-from misheard.llm.simhash import first_of_groups
-from misheard.operators.joins import is_small, spread_join
+from misheard.llm.simhash import first_of_groups, near_duplicates
+from misheard.operators.joins import is_small, lookup_join, spread_join
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -176,12 +176,27 @@ def groups(
     return old.unionByName(second.join(roots, "node", "left_anti"))
 
 
+def _with_links(found: DataFrame, others: DataFrame) -> DataFrame:
+    """`found` (root, id, _row) with groups as one that rows of one group of `others`
+    (root, _row) connect. Only groups of `others` that meet several make links."""
+    node = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
+    rows = found.groupBy("_row").agg(F.min("root").alias("x"))         # rows that are equal are of one group
+    met = rows.join(others.groupBy("_row").agg(F.min("root").alias("y")).hint("merge"), "_row")
+    met = cut(met.select(node("sets", "x").alias("a"), node("fingerprints", "y").alias("b")).distinct())
+    several = met.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    roots = components(met.join(several.hint("merge"), "b").select("a", "b"))
+    named = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    joined = lookup_join(found.withColumn("_node", node("sets", "root")), cut(named), ["_node"], "left", ["id", "_row"])
+    return joined.select(F.coalesce("_root", "_node").alias("root"), "id", "_row")
+
+
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = GROUP_ROWS, fingerprints: bool = False,
 ) -> DataFrame:
     """`docs` with one row of each group of near copies: that of the smallest id
-    (null last), of equal ids the one with the smallest digest of all columns."""
+    (null last), of equal ids the one with the smallest digest of all columns. With
+    `fingerprints`, texts whose fingerprints differ in two bits or less are linked too."""
     row = free_name(docs, "_row")
     keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
     rows = cut(_signatures(keyed, [id_col, row], text_col).withColumnRenamed(row, "_row"))
@@ -193,4 +208,8 @@ def keep_first(
         "fp", "n", F.coalesce("root", "fp").alias("root")
     )
     found = attach(rows.select(F.col(id_col).alias("id"), "_row", "fp"), cut(rooted), ["fp"], "n", ["id", "_row"])
-    return first_of_groups(keyed, cut(found.select("root", "id", "_row")), row, id_col)
+    found = cut(found.select("root", "id", "_row"))
+    if fingerprints:
+        others = near_duplicates(keyed, id_col, text_col, keep=(row,)).select("root", F.col(row).alias("_row"))
+        found = cut(_with_links(found, others))
+    return first_of_groups(keyed, found, row, id_col)
