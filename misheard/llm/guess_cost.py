@@ -100,7 +100,7 @@ _VALUE = re.compile(r"""[^\s"'<>,;]+""")
 MAX_WORDS = 50_000
 CONTEXTS = 4
 _TOKEN = re.compile(r"\S+")
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 100_000      # held by a task at once
 
 
 class Ranks:
@@ -162,8 +162,8 @@ def learn_words(
                             seen[0] += 1
                             seen[1] |= bit
                     before = token
-            if len(counts) >= _KEPT_WORDS:
-                yield rows()
+                if len(counts) >= _KEPT_WORDS:     # after each text: a batch may hold many words
+                    yield rows()
         if counts:
             yield rows()
 
