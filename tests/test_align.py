@@ -113,3 +113,25 @@ def test_best_sweep_edge_cases(spark):
     df = spark.createDataFrame([("", ""), ("", "abc"), ("abc", "xyz"), ("ab", "ab")], "ref string, hyp string")
     got = [(r["score"], r["cfg"], r["ref_aln"], r["hyp_aln"]) for r in P.align_by_sweep(df).collect()]
     assert got == [(None, None, None, None), (0.0, None, " ", " "), (0.0, None, " ", " "), (1.0, 0, "ab", "ab")]
+
+
+def test_sentences_need_one_table_and_give_the_same_links(monkeypatch):
+    """An optimum whose links all lie in the band is the one with the band."""
+    draw = random.Random(5)
+    pairs = []
+    for n in (1, 5, 20, 70, 150):
+        for _ in range(40):
+            a = "".join(draw.choices("aeinst ?", k=n))
+            b = "".join(c if draw.random() > 0.2 else draw.choice(["", c + c, "e"]) for c in a)
+            pairs.append((a, b))
+    slow = []
+    links = A._links
+    monkeypatch.setattr(A, "_links", lambda *got: slow.append(got) or links(*got))
+    for band in (1, 3, 10, None):
+        slow.clear()
+        found = [A.align_strings(a, b, band) for a, b in pairs]
+        assert band is not None or not slow
+        assert band != 10 or len(slow) < len(pairs) // 2
+        monkeypatch.setattr(A, "_ONE_TABLE", 0)
+        assert found == [A.align_strings(a, b, band) for a, b in pairs]
+        monkeypatch.setattr(A, "_ONE_TABLE", 512)
