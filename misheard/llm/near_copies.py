@@ -159,7 +159,7 @@ def groups(
     large = met.where(F.col("n") > group_rows)
     stars = large.where("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     found = _verified(small.unionByName(stars).distinct(), sets, similarity)
-    roots = cut(components(found))
+    roots = components(found)
     if large.isEmpty():
         return roots
     rooted = large.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -170,7 +170,7 @@ def groups(
     # only what the first links left apart is connected again
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     between = more.join(of("a").hint("merge"), "a", "left").join(of("b").hint("merge"), "b", "left")
-    second = cut(components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+    second = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     later = second.select(F.col("node").alias("root"), F.col("root").alias("_final"))
     old = roots.join(later.hint("merge"), "root", "left").select("node", F.coalesce("_final", "root").alias("root"))
     return old.unionByName(second.join(roots, "node", "left_anti"))
@@ -186,7 +186,7 @@ def _with_links(found: DataFrame, others: DataFrame) -> DataFrame:
     several = met.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     roots = components(met.join(several.hint("merge"), "b").select("a", "b"))
     named = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    joined = lookup_join(found.withColumn("_node", node("sets", "root")), cut(named), ["_node"], "left", ["id", "_row"])
+    joined = lookup_join(found.withColumn("_node", node("sets", "root")), named, ["_node"], "left", ["id", "_row"])
     return joined.select(F.coalesce("_root", "_node").alias("root"), "id", "_row")
 
 
