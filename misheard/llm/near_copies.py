@@ -34,6 +34,7 @@ BANDS, ROWS = 32, 5
 SEED = 42
 GROUP_ROWS = 64
 SKETCH = 512
+_ROWS = 512      # whose sets a task holds at once
 _SLICE = 1 << 12
 _ODD = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(SEED + 1).integers(0, 2**63, SHINGLE_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,7 +90,7 @@ def _signatures(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(F.col(text_col).cast("binary").alias("_text"), *keep)
-    return map_arrow(rows, step, f"{kinds}, fp long, size long, bands array<long>, sketch array<long>")
+    return map_arrow(rows, step, f"{kinds}, fp long, size long, bands array<long>, sketch array<long>", _ROWS)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, row: str, text_col: str) -> DataFrame:
@@ -107,7 +108,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, row: str, text_col: str) -> DataFr
         return pa.RecordBatch.from_arrays(made, names=["fp", "set"])
 
     # rows that repeat as they are give their class once
-    return map_arrow(texts.select("_text"), step, "fp long, set binary").dropDuplicates(["fp"])
+    return map_arrow(texts.select("_text"), step, "fp long, set binary", _ROWS).dropDuplicates(["fp"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
